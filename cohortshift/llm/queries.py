@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup
+from . import chat_format, decontaminate, license_scan, line_dedup, packing, token_files
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_chat_formatting": chat_format.op3_chat_formatting,
+        "op4_packing": packing.op4_packing,
+        "op6_token_files": token_files.op6_token_files,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
