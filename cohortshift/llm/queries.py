@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, packing, token_files
+from . import chat_format, decontaminate, license_scan, line_dedup, packing, quality, simhash, token_files
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_chat_formatting": chat_format.op3_chat_formatting,
         "op4_packing": packing.op4_packing,
+        "op5_simhash": simhash.op5_simhash,
         "op6_token_files": token_files.op6_token_files,
+        "op7_quality": quality.op7_quality,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
