@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embed_dedup, license_scan, line_dedup, packing, quality, simhash, token_files
+from . import chat_format, decontaminate, embed_dedup, license_scan, line_dedup, packing, quality, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_embedding_dedup": embed_dedup.op1_embedding_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_chat_formatting": chat_format.op3_chat_formatting,
         "op4_packing": packing.op4_packing,
