@@ -109,7 +109,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 33
         end = np.array(end_id, enc.dtype)
         for b in batches:
-            ids = [np.append(enc.encode(t or ""), end) for t in b.column(1).to_pylist()]
+            ids = [np.append(i, end) for i in enc.encode_many(b.column(1).to_pylist())]
             uids = np.arange(uid, uid + len(ids))
             uid += len(ids)
             yield pa.record_batch({"uid": pa.array(uids), "doc_id": b.column(0).cast(pa.int64()), "n": pa.array([len(i) for i in ids], pa.int64()), "width": pa.array([enc.dtype.itemsize] * len(ids), pa.int32()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})

@@ -118,9 +118,9 @@ def write_token_files(docs: DataFrame, out: str, scratch: Scratch, tokenizer: st
             return row
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
-                pieces.append(np.append(enc.encode(text), np.array(end_id, enc.dtype)))
+                pieces.append(np.append(ids, np.array(end_id, enc.dtype)))
                 size += len(pieces[-1]) * bits // 8
                 if size >= file_bytes:
                     yield flush()
@@ -141,7 +141,8 @@ def read_token_files(spark, out: str, files: DataFrame) -> DataFrame:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 f = TokenFile(data.as_buffer())
-                crcs = [zlib.crc32(f.document(i).tobytes()) for i in range(len(f.doc_ids))]
+                ids = f.ids(0, f.n_ids)
+                crcs = [zlib.crc32(ids[i:j]) for i, j in zip(f.starts[:-1].tolist(), f.starts[1:].tolist(), strict=True)]
                 name = [path.rsplit("/", 1)[-1]] * len(crcs)
                 yield pa.record_batch({"file": name, "doc_id": pa.array(f.doc_ids), "local": pa.array(f.starts[:-1]), "n_tokens": pa.array(f.counts), "ids_crc32": pa.array(crcs, pa.int64())})
 

@@ -15,8 +15,18 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: The Unicode property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHE_ENTRIES = 700_000
-LONG_CHUNK = 64
+CACHE_ENTRIES = 800_000
+TEXTS_AT_ONCE = 8
+
+
+def _places_of_none(items: list):
+    i = -1
+    try:
+        while True:
+            i = items.index(None, i + 1)
+            yield i
+    except ValueError:
+        return
 
 
 class ChunkEncoder:
@@ -29,43 +39,83 @@ class ChunkEncoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = ids(" a \n b") == ids("a") + ids("b")
         self.chunk = re.compile(f"[^{SPACE}]+" if self.drops_space else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.special = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
-        self.odd = re.compile("[\x1c-\x1f]")
+        self.line_break = (ids("\n") or [-1])[0]
+        self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def is_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
 
     def chunks(self, text: str) -> list[str]:
         # str.split() parts at White_Space and at these four
-        return text.split() if self.drops_space and not self.odd.search(text) else self.chunk.findall(text)
+        return text.split() if self.drops_space and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.chunk.findall(text)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if not text:
-            return np.empty(0, self.dtype)
-        if self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        cache, parts = self.cache, self.chunks(text)
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in parts]), self.dtype)
-        except KeyError:
-            pass
-        made = self.encode_chunks([p for p in dict.fromkeys(parts) if p not in cache])
-        ids = np.frombuffer(b"".join([made[p] if p in made else cache[p] for p in parts]), self.dtype)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of whole texts; null has none. Chunks that are new to the cache are encoded once for all texts."""
+        out = []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            out += self._encode_some(texts[i : i + TEXTS_AT_ONCE])
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
+        plain = [t if t and not self.is_special(t) else "" for t in texts]
+        cache = self.cache
+        parts = [self.chunks(t) for t in plain]
+        found = [list(map(cache.get, p)) for p in parts]
+        gaps = [list(_places_of_none(f)) for f in found]
+        made = self.encode_chunks({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = made[p[i]]
+        ids = [np.frombuffer(b"".join(f), self.dtype) for f in found]
         # frequent chunks come early, so a full cache keeps what it has
         if len(cache) < self.limit:
-            cache.update((p, x) for p, x in made.items() if len(p) <= LONG_CHUNK)
+            cache.update(made)
+        for i, t in enumerate(texts):
+            if t and not plain[i]:
+                ids[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype)
         return ids
 
-    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+    def _apart(self, chunks):
+        """Ids of chunks, and where each chunk's begin and end."""
+        got = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(got.word_ids, np.arange(len(chunks) + 1)).tolist()
+        return np.array(got.ids, self.dtype), ends[:-1], ends[1:]
+
+    def _joined(self, chunks):
+        """The same for letters only, faster: line breaks between them are tokens of their own, or words end with marked tokens."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        marks = np.flatnonzero(self.word_end[ids] if self.drops_space else ids == self.line_break)
+        if len(marks) != len(chunks) - (not self.drops_space):
+            return self._apart(chunks)
+        if self.drops_space:
+            ends = (marks + 1).tolist()
+            return ids, [0, *ends[:-1]], ends
+        return ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+
+    def encode_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """A letter and a punctuation mark after it never share a token, so 'word,' costs what 'word' does."""
-        cut = {c: (c[:-1], c[-1]) for c in chunks if c[-1] in ".,;:!?" and len(c) > 1 and c[-2].isalpha()}
-        whole = [c for c in dict.fromkeys(x for c in chunks for x in cut.get(c, (c,))) if c not in self.cache]
-        known = {}
-        for i in range(0, len(whole), 5000):
-            some = whole[i : i + 5000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(got.ids, self.dtype), np.searchsorted(got.word_ids, np.arange(len(some) + 1)).tolist()
-            known.update((c, ids[a:b].tobytes()) for c, a, b in zip(some, ends, ends[1:], strict=False))
-        find = lambda c: known[c] if c in known else self.cache[c]
-        return {c: find(cut[c][0]) + find(cut[c][1]) if c in cut else find(c) for c in chunks} | known
+        cut = [c for c in chunks if c[-1] in ".,;:!?" and len(c) > 1 and c[-2].isalpha()]
+        whole = chunks.difference(cut)
+        whole.update([c[:-1] for c in cut], [c[-1] for c in cut])
+        whole.difference_update(self.cache.keys() & whole)
+        known, size = {}, self.dtype.itemsize
+        letters = [c for c in whole if c.isalpha() or c[0] == " " and c[1:].isalpha()]
+        for part, encode in ((letters, self._joined), (list(whole.difference(letters)), self._apart)):
+            if part:
+                ids, begins, ends = encode(part)
+                data = ids.tobytes()
+                known.update(zip(part, [data[a * size : b * size] for a, b in zip(begins, ends, strict=True)], strict=True))
+        cache = self.cache
+        for c in cut:
+            head, tail = c[:-1], c[-1]
+            known[c] = (known[head] if head in known else cache[head]) + (known[tail] if tail in known else cache[tail])
+        return known
 
 
 _encoders: dict[str, ChunkEncoder] = {}
