@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from . import cleaning, cross_queries, drift_queries, model_queries, profiling  # noqa: F401
+    from . import cleaning, cross_queries, drift_queries, model_queries, profiling, stream_queries  # noqa: F401
 
     return dict(QUERIES)
 
