@@ -60,3 +60,32 @@ def auc(df: DataFrame, keys: list[str], label: str = "y", value: str = "value")
     r = running_totals(c, keys, {"c0": "n0"}, [value], value)
     won = F.sum(F.col("n1") * (F.col("c0") - F.col("n0") / 2.0))
     return r.groupBy(*keys).agg(won.alias("__w"), F.sum("n1").alias("__n1"), F.sum("n0").alias("__n0")).select(*keys, F.try_divide(F.col("__w"), F.col("__n1").cast("double") * F.col("__n0")).alias("auc"))
+
+
+def quantiles(df: DataFrame, keys: list[str], ks: list[int], base: int, value: str = "value") -> DataFrame:
+    """(keys, k, q): exact k/base quantiles with linear interpolation, from running counts of distinct values.
+
+    No task holds a key's values: the row of a value whose ranks cover a wanted position gives it away.
+    """
+    c = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    r = running_totals(c, keys, {"__c": "__n"}, [value], value)
+    last = F.col("__c_all") - 1
+    # of the positions (n - 1) k / base, the integer part and the one after it
+    wanted = F.array(*map(F.lit, ks))
+    covers = lambda shift: F.filter(wanted, lambda k: (k * last >= (F.col("__c") - F.col("__n") - shift) * base) & (k * last < (F.col("__c") - shift) * base))
+    dense = ks == list(range(ks[0], ks[-1] + 1))
+
+    def places(shift):
+        if not dense:
+            return covers(shift)
+        lo = F.greatest(F.lit(ks[0]), F.ceil(F.try_divide((F.col("__c") - F.col("__n") - shift) * float(base), last)))
+        hi = F.least(F.lit(ks[-1]), F.floor(F.try_divide((F.col("__c") - shift) * float(base) - 1, last)))
+        return F.when(last == 0, wanted if shift == 0 else F.expr("cast(array() as array<int>)")).when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    found = None
+    for shift, name in ((0, "lo"), (1, "hi")):
+        part = r.select(*keys, last.alias("last"), F.explode(places(shift)).alias("k"), F.col(value).alias("v"), F.lit(name).alias("end"))
+        found = part if found is None else found.unionByName(part)
+    g = found.groupBy(*keys, "k").agg(F.max("last").alias("last"), F.max(F.when(F.col("end") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("end") == "hi", F.col("v"))).alias("hi"))
+    share = (F.col("k") * F.col("last") % base) / float(base)
+    return g.select(*keys, "k", (F.col("lo") + share * (F.coalesce("hi", "lo") - F.col("lo"))).alias("q"))

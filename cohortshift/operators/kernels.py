@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, T_975_DF4
@@ -32,7 +32,7 @@ def mutual_information(long: DataFrame, keys: list[str], cap: int = 20_000) -> D
         h = float(-(p[p > 0] * np.log(p[p > 0])).sum())
         return pd.DataFrame([(*(g[k].iloc[0] for k in keys), mi, float(np.clip(mi / h, 0, 1)) if h > 0 else 0.0)])
 
-    rows = random_cap(finite_rows(long), [*keys, "y"], F.expr(ROW_KEY), cap).select(*keys, "y", "value")
+    rows = random_cap(finite_rows(long), [*keys, "y"], F.expr(ROW_KEY), cap, few_groups=True).select(*keys, "y", "value")
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", mi double, mi_normalized double")
 
 
@@ -44,15 +44,32 @@ def modes(long: DataFrame, keys: list[str], cap: int = 10_000) -> DataFrame:
         found = lib1d.fit_modes(g["value"].to_numpy(), _rng(*map(str, names)))
         return pd.DataFrame([(*names, len(found), [dict(zip(("center", "spread", "mass"), m, strict=True)) for m in found])])
 
-    rows = random_cap(finite_rows(long).where("value <> 0"), keys, F.expr(ROW_KEY), cap).select(*keys, "value")
+    rows = random_cap(finite_rows(long).where("value <> 0"), keys, F.expr(ROW_KEY), cap, few_groups=True).select(*keys, "value")
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n_modes int, modes array<struct<center double, spread double, mass double>>")
 
 
-def slices(long: DataFrame) -> DataFrame:
-    """Rows with their slice: all, benign, attack and each family that both cohorts have."""
-    shared = [r[0] for r in long.where("family <> 'Benign'").groupBy("family").agg(F.countDistinct("cohort").alias("n")).where("n = 2").collect()]
-    parts = F.array(F.lit("pooled"), F.when(F.col("y") == 0, "benign").otherwise("attack"), F.when(F.col("family").isin(shared), F.concat(F.lit("family:"), "family")))
-    return long.withColumn("slice", F.explode(F.array_compact(parts)))
+def slice_sample(long: DataFrame, cap: int) -> DataFrame:
+    """(feature, slice, cohort, value): at most cap finite rows of each cohort in each slice, by hash.
+
+    Slices are pooled, benign, attack, and each family that both cohorts have. Their sizes come from counts of
+    (feature, cohort, family, label), a table that the schema bounds; it is joined back by broadcast, and a row
+    is copied to a slice only if its hash is small enough for that slice's sample.
+    """
+    rows = finite_rows(long)
+    n = rows.groupBy("feature", "cohort", "family", "y").count().collect()
+    cohorts = {f: {r["cohort"] for r in n if r["family"] == f} for f in {r["family"] for r in n}}
+    names = lambda r: ["pooled", "attack" if r["y"] else "benign", *([f"family:{r['family']}"] if r["y"] and len(cohorts[r["family"]]) == 2 else [])]
+    size: dict = {}
+    for r in n:
+        for s in names(r):
+            size[r["feature"], r["cohort"], s] = size.get((r["feature"], r["cohort"], s), 0) + r["count"]
+    margin = cap + 8 * cap**0.5 + 8
+    table = [(r["feature"], r["cohort"], r["family"], int(r["y"]), s, margin / size[r["feature"], r["cohort"], s]) for r in n for s in names(r)]
+    wanted = long.sparkSession.createDataFrame(table, "feature string, cohort string, family string, y int, slice string, share double")
+    hashed = rows.withColumn("h", F.xxhash64(F.expr(ROW_KEY))).withColumn("u", F.shiftrightunsigned("h", 11) / float(1 << 53))
+    some = hashed.join(F.broadcast(wanted), ["feature", "cohort", "family", "y"]).where("u <= share")
+    place = F.row_number().over(Window.partitionBy("feature", "slice", "cohort").orderBy("h"))
+    return some.withColumn("r", place).where(F.col("r") <= cap).select("feature", "slice", "cohort", "value")
 
 
 def c2st(long: DataFrame, cap: int = CONFIG.c2st_sample) -> DataFrame:
@@ -71,7 +88,7 @@ def c2st(long: DataFrame, cap: int = CONFIG.c2st_sample) -> DataFrame:
         null = lib1d.permutation_null(a, b, lib1d.c2st_once, lib1d.RESPLITS["c2st"], rng)
         return pd.DataFrame([(feature, part, mean, lo, hi, null, len(a), len(b))])
 
-    rows = random_cap(slices(finite_rows(long)), ["feature", "slice", "cohort"], F.expr(ROW_KEY), cap).select("feature", "slice", "cohort", "value")
+    rows = slice_sample(long, cap)
     return rows.groupBy("feature", "slice").applyInPandas(run, "feature string, slice string, auc double, ci_low double, ci_high double, null_floor double, n_a long, n_b long")
 
 
@@ -87,7 +104,7 @@ def distances(long: DataFrame, metrics: list[str], cap: int = 2000) -> DataFrame
             rows.append((feature, m, lib1d.METRICS[m](a, b, rng), lib1d.permutation_null(a, b, lib1d.METRICS[m], lib1d.RESPLITS[m], rng)))
         return pd.DataFrame(rows)
 
-    rows = random_cap(finite_rows(long), ["feature", "cohort"], F.expr(ROW_KEY), cap).select("feature", "cohort", "value")
+    rows = random_cap(finite_rows(long), ["feature", "cohort"], F.expr(ROW_KEY), cap, few_groups=True).select("feature", "cohort", "value")
     return rows.groupBy("feature").applyInPandas(run, "feature string, metric string, raw double, null_floor double")
 
 
@@ -107,7 +124,7 @@ def separation_nulls(long: DataFrame, cap: int = 5000, resplits: int = 30) -> Da
             mis.append(lib1d.mutual_information(x, s) / h if h else 0.0)
         return pd.DataFrame([(cohort, feature, float(np.percentile(aucs, 95)), float(np.percentile(mis, 95)))])
 
-    rows = random_cap(finite_rows(long), ["cohort", "feature"], F.expr(ROW_KEY), cap).select("cohort", "feature", "y", "value")
+    rows = random_cap(finite_rows(long), ["cohort", "feature"], F.expr(ROW_KEY), cap, few_groups=True).select("cohort", "feature", "y", "value")
     return rows.groupBy("cohort", "feature").applyInPandas(run, "cohort string, feature string, auc_null double, mi_null double")
 
 
@@ -129,7 +146,7 @@ def univariate_transfer(long: DataFrame, cap: int = 20_000, depth: int = 3) -> D
         cross = balanced(b["y"].to_numpy(), tree.predict(b["value"].to_numpy()) >= 0.5)
         return pd.DataFrame([(feature, within, cross, within - cross, bool(within - cross < 0.05 and cross > 0.55))])
 
-    rows = random_cap(finite_rows(long), ["feature", "cohort", "y"], F.expr(ROW_KEY), cap).select("feature", "cohort", "okey", "y", "value")
+    rows = random_cap(finite_rows(long), ["feature", "cohort", "y"], F.expr(ROW_KEY), cap, few_groups=True).select("feature", "cohort", "okey", "y", "value")
     return rows.groupBy("feature").applyInPandas(run, "feature string, accuracy_within double, accuracy_cross double, drop double, transfers_well boolean")
 
 
@@ -140,5 +157,5 @@ def densities(long: DataFrame, cap: int = 2000, points: int = 220) -> DataFrame:
         x, d = lib1d.kde(g["value"].to_numpy(), points)
         return pd.DataFrame({"cohort": g["cohort"].iloc[0], "feature": g["feature"].iloc[0], "x": x, "density": d})
 
-    rows = random_cap(finite_rows(long), ["cohort", "feature"], F.expr(ROW_KEY), cap).select("cohort", "feature", "value")
+    rows = random_cap(finite_rows(long), ["cohort", "feature"], F.expr(ROW_KEY), cap, few_groups=True).select("cohort", "feature", "value")
     return rows.groupBy("cohort", "feature").applyInPandas(run, "cohort string, feature string, x double, density double")

@@ -42,10 +42,18 @@ def stride_cap(df: DataFrame, by: str, order: list[str], cap: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("g"))).where(F.col("__r") <= cap).drop("__n", "__r", "g")
 
 
-def random_cap(df: DataFrame, by: list[str], key: Column, cap: int, seed: int = CONFIG.seed) -> DataFrame:
-    """At most cap rows of each group, by smallest hash."""
-    df = df.withColumn("__h", F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))))
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).where(F.col("__r") <= cap).drop("__h", "__r")
+def random_cap(df: DataFrame, by: list[str], key: Column, cap: int, seed: int = CONFIG.seed, few_groups: bool = False) -> DataFrame:
+    """At most cap rows of each group, by smallest hash.
+
+    A group's size tells how small a hash must be to be among its cap smallest, with a margin of eight standard
+    deviations; so only about cap rows of a group are sorted, wherever they are. few_groups says that the
+    schema bounds the groups (features, cohorts, labels): their sizes are then broadcast.
+    """
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    df = df.withColumn("__h", F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))).join(F.broadcast(sizes) if few_groups else sizes, by)
+    uniform = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    df = df.where(uniform * F.col("__n") <= cap + 8 * cap**0.5 + 8)
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).where(F.col("__r") <= cap).drop("__h", "__r", "__n")
 
 
 def feature_seed(name: Column) -> Column:
