@@ -218,7 +218,8 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
         padded = np.concatenate([np.full(kk, -np.inf), s, np.full(kk, np.inf)])
         # the kk-th neighbour of a sorted point is an end of one of the windows of kk + 1 points that hold it
         r = np.min([np.maximum(s - padded[j : j + len(s)], padded[j + kk : j + kk + len(s)] - s) for j in range(kk + 1)], axis=0)
-        r = np.nextafter(r, 0)
+        # strictly within the neighbour's distance, by more than rounding
+        r = np.maximum(0, r - np.maximum(1e-9 * r, 4 * np.spacing(np.abs(s) + r)))
         m = np.searchsorted(whole, s + r, "right") - np.searchsorted(whole, s - r, "left")
         parts.append((len(s), digamma(kk), digamma(len(s)), digamma(np.maximum(m, 1)).mean()))
     n = sum(p[0] for p in parts)
