@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower
 
 WINDOW = 13
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,7 +94,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, wit
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: n_words, n_hit, items (sorted as strings) and contaminated."""
-    hits = phrase_matches(docs, benchmark, size)
+    hits = Scratch(docs.sparkSession).save(phrase_matches(docs, benchmark, size), "hits")  # read twice
     order = Window.partitionBy("doc_id").orderBy("start", "len")
     spans = hits.select("doc_id", "start", "len").distinct()
     reached = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
