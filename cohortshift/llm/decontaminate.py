@@ -37,9 +37,8 @@ def _sized(df: DataFrame, small: bool) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(term, doc_id, pos, words): the index, restricted to terms; words is the document the posting is in."""
-    d = docs.where("doc_id is not null").select("doc_id", words("text").alias("words"))
-    p = d.select("doc_id", "words", F.posexplode("words").alias("pos", "term"))
+    """(term, doc_id, pos, ...): the index, restricted to the given terms, with their columns."""
+    p = docs.where("doc_id is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "term"))
     return p.join(_sized(terms, small), "term")
 
 
@@ -74,9 +73,21 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     small = is_small(benchmark)
     windows = test_windows(benchmark, size)
     anchors = anchored(windows, term_frequencies(docs, windows, small))
-    hit = postings(docs, anchors, small).withColumn("start", F.expr("pos - off"))
-    hit = hit.where("start >= 0 and start + len <= size(words)").where("get(words, start + off2) = term2").where("slice(words, greatest(start, 0) + 1, len) = window")
-    return hit.select("doc_id", "start", "len", "window").distinct()
+    if small:
+        # one pass: the document's words are at hand where a posting meets its windows
+        d = docs.where("doc_id is not null").select("doc_id", words("text").alias("words"))
+        hit = d.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(_sized(anchors, small), "term").withColumn("start", F.expr("pos - off"))
+        hit = hit.where("start >= 0 and start + len <= size(words)").where("get(words, start + off2) = term2").where("slice(words, greatest(start, 0) + 1, len) = window")
+        return hit.select("doc_id", "start", "len", "window").distinct()
+    # narrow postings move, lists intersect at adjusted offsets, and each document's candidates meet its words once
+    terms = anchors.select("term").union(anchors.select("term2")).distinct()
+    index = postings(docs, terms, small)
+    second = index.select("doc_id", F.col("term").alias("term2"), F.col("pos").alias("at2"))
+    both = index.join(anchors, "term").withColumn("start", F.expr("pos - off")).withColumn("at2", F.expr("start + off2")).where("start >= 0").join(second, ["doc_id", "term2", "at2"], "left_semi")
+    found = both.groupBy("doc_id").agg(F.collect_set(F.struct("start", "len", "window")).alias("found"))
+    d = docs.where("doc_id is not null").select("doc_id", words("text").alias("words")).join(found, "doc_id")
+    exact = d.select("doc_id", F.explode(F.expr("filter(found, c -> slice(words, c.start + 1, c.len) = c.window)")).alias("c"))
+    return exact.select("doc_id", "c.start", "c.len", "c.window").distinct()
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, within: int = 30, size: int = WINDOW) -> DataFrame:
