@@ -6,38 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, IDENTIFIERS_DRIFT, NONNEGATIVE_HINTS, SENTINEL_FEATURES
-from ..functions.ranks import auc
+from ..functions.ranks import auc, quantiles
 
 KEYS = ["cohort", "feature"]
-GRID = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
+GRID = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
 
 def finite_rows(long: DataFrame) -> DataFrame:
     return long.where("value is not null and not isnan(value) and abs(value) <> double('infinity')")
 
 
+def _wide(q: DataFrame, names: dict[int, str]) -> DataFrame:
+    """Quantile rows as columns."""
+    return q.groupBy(*KEYS).agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in names.items()))
+
+
 def basic(long: DataFrame) -> DataFrame:
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = finite_rows(long).groupBy(*KEYS).agg(
+    """Mergeable moments in one pass; quartiles and levels from counts of distinct values."""
+    rows = finite_rows(long)
+    out = rows.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.count_if(F.col("value") == 0).alias("n_zero"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
-        F.count_if(F.col("value") != F.round("value")).alias("n_fraction"), F.countDistinct("value").alias("n_unique"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
+        F.count_if(F.col("value") != F.round("value")).alias("n_fraction"),
     )
+    levels = rows.groupBy(*KEYS, "value").count().groupBy(*KEYS).agg(F.count("*").alias("n_unique"))
+    quartiles = _wide(quantiles(rows, KEYS, [1, 2, 3], 4), {1: "p25", 2: "median", 3: "p75"})
     total = long.groupBy(*KEYS).agg(F.count("*").alias("n_total"))
-    out = out.join(total, KEYS).withColumn("n_missing", F.col("n_total") - F.col("n"))
-    out = out.withColumns({"p25": F.col("q")[0], "median": F.col("q")[1], "p75": F.col("q")[2]}).drop("q")
+    out = out.join(levels, KEYS).join(quartiles, KEYS).join(total, KEYS).withColumn("n_missing", F.col("n_total") - F.col("n"))
     return out.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "zero_fraction": F.col("n_zero") / F.col("n_total"), "cv": F.coalesce(F.try_divide("std", F.abs("mean")), F.lit(0.0))})
 
 
 def mad(long: DataFrame, stats: DataFrame) -> DataFrame:
     """Median absolute deviation: a second pass against the medians, one row per feature."""
-    return finite_rows(long).join(stats.select(*KEYS, "median"), KEYS).groupBy(*KEYS).agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
+    away = finite_rows(long).join(stats.select(*KEYS, "median"), KEYS).select(*KEYS, F.abs(F.col("value") - F.col("median")).alias("value"))
+    return _wide(quantiles(away, KEYS, [1], 2), {1: "mad"})
 
 
-def percentiles(long: DataFrame, grid: list[float] = GRID) -> DataFrame:
-    """(cohort, feature, place, q): exact, by linear interpolation."""
-    p = finite_rows(long).groupBy(*KEYS).agg(F.percentile("value", F.array(*map(F.lit, grid))).alias("p"))
-    return p.select(*KEYS, F.posexplode("p").alias("place", "q"))
+def percentiles(long: DataFrame, grid: list[int] = GRID) -> DataFrame:
+    """(cohort, feature, place, q): exact percentiles, by linear interpolation."""
+    place = F.array_position(F.array(*map(F.lit, grid)), F.col("k")) - 1
+    return quantiles(finite_rows(long), KEYS, grid, 100).select(*KEYS, place.cast("int").alias("place"), "q")
 
 
 def entropy(long: DataFrame, bins: int = CONFIG.entropy_bins) -> DataFrame:
@@ -60,8 +68,8 @@ def outliers(long: DataFrame, stats: DataFrame, k: float = CONFIG.tukey) -> Data
 def view_range(long: DataFrame, lo: float = CONFIG.view_low, hi: float = CONFIG.view_high) -> DataFrame:
     """Robust display range and how many values lie outside; an empty range gets width 1."""
     rows = finite_rows(long)
-    q = rows.groupBy(*KEYS).agg(F.percentile("value", F.array(F.lit(lo), F.lit(hi))).alias("q"))
-    q = q.select(*KEYS, F.col("q")[0].alias("view_low"), F.when(F.col("q")[1] > F.col("q")[0], F.col("q")[1]).otherwise(F.col("q")[0] + 1).alias("view_high"))
+    q = _wide(quantiles(rows, KEYS, [round(lo * 1000), round(hi * 1000)], 1000), {round(lo * 1000): "view_low", round(hi * 1000): "high"})
+    q = q.select(*KEYS, "view_low", F.when(F.col("high") > F.col("view_low"), F.col("high")).otherwise(F.col("view_low") + 1).alias("view_high"))
     return rows.join(q, KEYS).groupBy(*KEYS, "view_low", "view_high").agg(F.count_if(F.col("value") < F.col("view_low")).alias("n_clipped_low"), F.count_if(F.col("value") > F.col("view_high")).alias("n_clipped_high"))
 
 
@@ -88,7 +96,9 @@ def detect_type(stats: DataFrame, masses: DataFrame) -> DataFrame:
 def select_scale(long: DataFrame, types: DataFrame) -> DataFrame:
     """recommended_scale, and the threshold of a symlog scale: the 10 % quantile of non-zero magnitudes."""
     v = F.col("value")
-    s = finite_rows(long).groupBy(*KEYS).agg(F.min(F.when(v > 0, v)).alias("least"), F.max(F.when(v > 0, v)).alias("most"), F.count_if(v <= 0).alias("n_low"), F.percentile(F.when(v != 0, F.abs(v)), 0.1).alias("thr"))
+    s = finite_rows(long).groupBy(*KEYS).agg(F.min(F.when(v > 0, v)).alias("least"), F.max(F.when(v > 0, v)).alias("most"), F.count_if(v <= 0).alias("n_low"))
+    low = quantiles(finite_rows(long).where("value <> 0").select(*KEYS, F.abs("value").alias("value")), KEYS, [1], 10)
+    s = s.join(_wide(low, {1: "thr"}), KEYS, "left")
     scale = (
         F.when(F.col("detected_type") != "continuous", "categorical").when(F.col("zero_inflated") | (F.col("n_low") > 0), "symlog")
         .when(F.try_divide("most", "least") > CONFIG.log_ratio, "log").otherwise("linear")

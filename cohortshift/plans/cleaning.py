@@ -59,7 +59,7 @@ def src_02(spark, d):
     return files.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("SRC-03")
+@query("SRC-03", "SELECT * FROM (VALUES ('n_nationkey,n_name,n_regionkey', CAST(1 AS BIGINT)), ('r_regionkey,r_name', 1)) t(header, n_files)")
 def src_03(spark, d):
     """Files grouped by header."""
     a = files.write_csv(spark.read.parquet(f"{d}/nation.parquet"))
@@ -91,7 +91,7 @@ def src_07(spark, d):
     return files.stack_shards([a, b]).where("quantity > 10").select("okey", "v")
 
 
-@query("SRC-08")
+@query("SRC-08", "SELECT r_regionkey, r_name FROM region")
 def src_08(spark, d):
     """A JSON artifact, or an empty table where it is absent."""
     there = files.write_json(spark.read.parquet(f"{d}/region.parquet"))
@@ -117,7 +117,7 @@ def snk_02(spark, d):
     return spark.read.parquet(files.write_parquet(spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")))
 
 
-@query("SNK-03")
+@query("SNK-03", f"WITH {cte('line')}, e AS (SELECT *, CASE family WHEN 'Benign' THEN 0 WHEN 'Botnet' THEN 1 ELSE 4 END AS code FROM line), g AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LONGKEYS}) - 1 AS g FROM e) SELECT CASE WHEN (g + (code * 131 + 42) % 1000) % 1000 < 200 THEN 'test' ELSE 'train' END AS split, code::TINYINT AS label_multiclass, count(*) AS count FROM g GROUP BY 1, 2")
 def snk_03(spark, d):
     """Train and test written by split, features as float and codes as byte."""
     df = S.systematic_split(C.encode(view(spark, d, "line")), "label_multiclass", ORDER)

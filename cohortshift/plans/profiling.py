@@ -34,7 +34,7 @@ def pro_02(spark, d):
     return _round(P.basic(long_view(spark, d)), "skewness", "kurtosis", at=5).select(*P.KEYS, "skewness", "kurtosis")
 
 
-@query("PRO-03", f"WITH {L} " + " UNION ALL ".join(f"SELECT {K}, {i} AS place, round(quantile_cont(value, {q}), 6) + 0.0 AS q FROM long GROUP BY 1, 2" for i, q in enumerate(P.GRID)))
+@query("PRO-03", f"WITH {L} " + " UNION ALL ".join(f"SELECT {K}, {i} AS place, round(quantile_cont(value, {q / 100}), 6) + 0.0 AS q FROM long GROUP BY 1, 2" for i, q in enumerate(P.GRID)))
 def pro_03(spark, d):
     return _round(P.percentiles(long_view(spark, d)), "q")
 
