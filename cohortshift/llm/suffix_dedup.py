@@ -3,8 +3,9 @@
 A byte goes if a `LENGTH`-byte string that covers it also starts earlier in the corpus, in (doc_id, position)
 order. Windows are the suffixes cut at LENGTH bytes; equal ones must meet, and nothing else need be sorted.
 
-1. Within a task, a text that repeats one with a smaller doc_id goes whole and makes no rows (below LENGTH bytes
-   a text has no window and stays). So a group of copies makes the rows of one text for each task at most.
+1. Within a task, a text that repeats one with a smaller doc_id goes whole and makes no runs (below LENGTH bytes
+   a text has no window and stays), and of equal runs in a batch only the first moves on. So a group of copies
+   makes the rows of one text for each task, and a frequent passage those of one place for each batch.
 2. The window's anchor is its smallest-hashed `GRAM`-byte string, leftmost of equals. It depends on the window's
    bytes alone, so equal windows have equal anchors at equal offsets. Consecutive windows with one anchor form a
    run; runs are what moves: two hashes and a place each, about one for every 39 bytes.
@@ -137,10 +138,24 @@ def repeated_windows(text: bytes, places: np.ndarray, group: np.ndarray, length:
     return out
 
 
+def first_runs(anchor, kind, doc, start, n) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in (doc, start) order: which are the first of their kind, and which repeat it at another place."""
+    order = np.lexsort((kind, anchor))  # stable: within a kind by place
+    head = np.ones(len(order), bool)
+    head[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]])
+    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    first, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order[head]] = True
+    again[order] = ~head & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
+    return first, again
+
+
 def _run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, kind, doc_id, start, n): the runs of each text; kind is a hash of a run's bytes.
+    """(anchor, kind, doc_id, start, n, known): the runs of each text; kind is a hash of a run's bytes.
 
-    A whole text that is known to repeat an earlier one is a row with n = -1.
+    Runs are pre-aggregated before they move: of the equal runs of a batch only the first is dealt by its anchor.
+    The others are known to be repeated, and neighbours among them become one span, dealt by document; so do whole
+    texts that repeat one with a smaller doc_id (n = -1). Frequent passages cost one row for each batch.
     """
 
     def run(batches):
@@ -149,23 +164,35 @@ def _run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         digest, least = xxhash.xxh3_64_intdigest, {}
         for b in batches:
-            parts = []
+            parts, known = [], []
             texts = [(d, (t or "").encode()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             for doc_id, raw in sorted(texts, key=lambda x: x[0]):
                 if len(raw) < length:
                     continue
                 whole = xxhash.xxh3_128_digest(raw)
                 if least.setdefault(whole, doc_id) < doc_id:
-                    parts.append(tuple(np.array([v], np.int64) for v in (digest(raw) >> 1, 0, doc_id, 0, -1)))
+                    known.append((doc_id, 0, -1))
                     continue
                 least[whole] = doc_id
                 anchor, start, n = runs(raw, length, gram)
                 kind = np.fromiter((digest(raw[i:j]) for i, j in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)), np.uint64, len(start))
                 parts.append((anchor.view(np.int64), kind.view(np.int64), np.full(len(start), doc_id), start, n))
+            out = [np.empty(0, np.int64)] * 5
             if parts:
-                yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["anchor", "kind", "doc_id", "start", "n"])
-
-    return docs.mapInArrow(run, "anchor long, kind long, doc_id long, start long, n long")
+                anchor, kind, doc, start, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+                first, again = first_runs(anchor, kind, doc, start, n)
+                out = [c[first] for c in (anchor, kind, doc, start, n)]
+                doc, start, n = doc[again], start[again], n[again]
+                if len(doc):
+                    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
+                    known += zip(doc[begins].tolist(), start[begins].tolist(), np.add.reduceat(n, begins).tolist(), strict=True)
+            d, s, m = np.array(known, np.int64).reshape(-1, 3).T
+            spread = (d.view(np.uint64) * np.uint64(_ODD)).view(np.int64) if len(d) else d
+            cols = [np.concatenate([x, y]) for x, y in zip(out, (spread, np.zeros(len(d), np.int64), d, s, m), strict=True)]
+            flags = np.concatenate([np.zeros(len(out[0]), bool), np.ones(len(d), bool)])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), pa.array(flags)], ["anchor", "kind", "doc_id", "start", "n", "known"])
+
+    return docs.mapInArrow(run, "anchor long, kind long, doc_id long, start long, n long, known boolean")
 
 
 def _sort_runs(rows: DataFrame) -> DataFrame:
@@ -178,7 +205,7 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
         last, first = None, None
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(5)]
-            whole = cols[4] < 0
+            whole = b.column(5).to_numpy(zero_copy_only=False)
             out = [(cols[2][whole], cols[3][whole], cols[4][whole], cols[0][whole], np.zeros(whole.sum(), bool))]
             anchor, kind, doc, start, n = (c[~whole] for c in cols)
             if len(anchor):
