@@ -112,7 +112,7 @@ def exposure_percentile(features: DataFrame, draws: int = CONFIG.exposure_draws)
     return features.sparkSession.createDataFrame([(own, float((null <= own).mean() * 100))], "exposure double, percentile double")
 
 
-def resample_indices(n: int, draws: int, name: str, clusters: np.ndarray | None = None) -> np.ndarray:
+def resample_indices(n: int, draws: int, name: str) -> np.ndarray:
     """Bootstrap row numbers, (draws, n), from a seed of the name."""
     return np.random.default_rng(zlib.crc32(name.encode())).integers(n, size=(draws, n))
 

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+@cache
+def _local_dir() -> str:
+    """A folder of this process that goes with it; for local masters only."""
+    path = tempfile.mkdtemp(prefix="cohortshift-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = "file:///tmp/cohortshift-checkpoints"
+        root = f"file://{_local_dir()}"
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}/{name}"
 
 
