@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        path = "file:///tmp/cohortshift-checkpoints"
+        path = f"file://{_local_dir()}"
     return path.rstrip("/")
 
 
+@cache
+def _local_dir() -> str:
+    """A folder of this process that goes with it; for local masters only."""
+    path = tempfile.mkdtemp(prefix="cohortshift-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; they survive lost executors."""
 
