@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def with_bucket(df: DataFrame, keys: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:

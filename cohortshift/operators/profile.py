@@ -36,9 +36,11 @@ def basic(long: DataFrame) -> DataFrame:
     return out.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "zero_fraction": F.col("n_zero") / F.col("n_total"), "cv": F.coalesce(F.try_divide("std", F.abs("mean")), F.lit(0.0))})
 
 
-def mad(long: DataFrame, stats: DataFrame) -> DataFrame:
+def mad(long: DataFrame) -> DataFrame:
     """Median absolute deviation: a second pass against the medians, one row per feature."""
-    away = finite_rows(long).join(stats.select(*KEYS, "median"), KEYS).select(*KEYS, F.abs(F.col("value") - F.col("median")).alias("value"))
+    # the median alone, so that the other aggregates of stats are not computed again
+    median = _wide(quantiles(finite_rows(long), KEYS, [1], 2), {1: "median"})
+    away = finite_rows(long).join(median, KEYS).select(*KEYS, F.abs(F.col("value") - F.col("median")).alias("value"))
     return _wide(quantiles(away, KEYS, [1], 2), {1: "mad"})
 
 

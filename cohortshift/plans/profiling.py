@@ -22,7 +22,7 @@ def _round(df, *names, at=6):
 def pro_01(spark, d):
     long = long_view(spark, d)
     s = P.basic(long)
-    out = s.join(P.mad(long, s), P.KEYS)
+    out = s.join(P.mad(long), P.KEYS)
     return _round(out, "mean", "median", "std", "range", "iqr", "mad").select(*P.KEYS, "n", "n_zero", "min", "max", "mean", "median", "std", "range", "iqr", "mad")
 
 
