@@ -5,6 +5,13 @@ For Dice >= t the smaller bigram set has at least t / (2 - t) of the larger's si
 compared only with units whose size lies within these bounds; most lines meet no template at all. The
 templates are a fixed table of literals: no join, no shuffle.
 
+Notices that wrap over lines or stand in a longer line are found as passages: runs of consecutive words of the
+whole text with at most (2 - t) / t of a template's word pairs. A run reaches t only if it has t / (2 - t) of the
+template's distinct bigrams, and an end outside the template never helps, so runs from one of its bigrams to
+another cover all positions. Of overlapping runs of a template the best is kept, then of overlapping templates
+the one with more common bigrams. A passage is a row of the line it begins in, unless it lies in a line with a
+row of its own or the whole text has one. So a line may have two rows: its own and that of a passage from it.
+
 Defined cases: null and empty texts have no bigrams and match nothing; of equal scores the first template in
 name order wins; rows without a doc_id are left out; other columns are not read.
 """
@@ -52,8 +59,67 @@ def _bigrams(words: str) -> Column:
     return F.expr(f"array_distinct(transform(if(size({words}) > 1, sequence(1, size({words}) - 1), cast(array() as array<int>)), i -> concat(get({words}, i - 1), ' ', get({words}, i))))")
 
 
+def needed_words(grams: list[str], least: int) -> set[str]:
+    """Words, longest first, one of which is in any set of `least` of the bigrams."""
+    words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w))
+    out, rest = set(), list(grams)
+    for w in words:
+        if len(rest) < least:
+            break
+        out.add(w)
+        rest = [g for g in rest if w not in g.split(" ")]
+    return out
+
+
+def _array(values) -> str:
+    return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
+
+
+RUN = "array<struct<s: int, e: int, line: int, last: int, common: int, license: string, dice: double>>"
+
+
+def _apart(runs: str, first: str) -> str:
+    """Runs that overlap no run before them in the given order."""
+    order = f"(a, b) -> case {first} when a.s <> b.s then a.s - b.s when a.e <> b.e then a.e - b.e when a.license < b.license then -1 when a.license > b.license then 1 else 0 end"
+    return f"aggregate(array_sort({runs}, {order}), cast(array() as {RUN}), (kept, x) -> if(exists(kept, k -> k.s <= x.e and x.s <= k.e), kept, concat(kept, array(x))))"
+
+
+def _runs(name: str, grams: list[str], pairs: int, threshold: float) -> str:
+    """The best runs of one template, from __h (its and other templates' bigrams by place) and __g (all bigrams)."""
+    least, _ = size_bounds(len(grams), threshold)
+    _, most = size_bounds(pairs, threshold)
+    distinct = lambda low, high: f"size(array_distinct(transform(filter(own, x -> x.i between {low} and {high}), x -> x.b)))"
+    ends = f"transform(filter(own, e -> e.i between s.i and s.i + {most - 1}), e -> named_struct('s', s.i, 'e', e.i, 'line', s.line, 'last', e.last, 'common', {distinct('s.i', 'e.i')}, 'license', '{name}', 'n', size(array_distinct(transform(slice(__g, s.i + 1, e.i - s.i + 1), x -> x.b)))))"
+    scored = f"transform(filter({ends}, r -> r.common >= {least}), r -> named_struct('s', r.s, 'e', r.e, 'line', r.line, 'last', r.last, 'common', r.common, 'license', r.license, 'dice', 2D * r.common / (r.n + {len(grams)})))"
+    starts = f"filter(own, s -> {distinct('s.i', f's.i + {most - 1}')} >= {least})"
+    found = f"filter(flatten(transform({starts}, s -> {scored})), r -> r.dice >= {threshold}D)"
+    best = _apart("found", "when a.dice > b.dice then -1 when a.dice < b.dice then 1")
+    return f"transform(array(filter(__h, x -> array_contains({_array(grams)}, x.b))), own -> transform(array({found}), found -> {best})[0])[0]"
+
+
+def passages(docs: DataFrame, known: dict[str, list[str]], pairs: dict[str, int], threshold: float) -> DataFrame:
+    """(doc_id, line_no, license, dice) of runs of words that neither a line's nor the whole text's row shows."""
+    bounds = {k: size_bounds(len(v), threshold) for k, v in known.items()}
+    words = sorted({w for k, v in known.items() for w in needed_words(v, bounds[k][0])})
+    some = docs.withColumn("__l", F.lower("text")).where(" or ".join(f"contains(__l, '{w}')" for w in words))
+    row = lambda name, e: F.explode(F.array(F.expr(e))).alias(name)
+    unit = r"filter(split(lower(u), '[^\\p{L}\\p{N}]+', -1), w -> w <> '')"
+    d = some.select("doc_id", row("__w", f"flatten(transform(split(text, '\\n', -1), (u, i) -> transform({unit}, w -> struct(w as w, i as line))))")).where("size(__w) > 1")
+    d = d.select("doc_id", row("__g", "transform(sequence(0, size(__w) - 2), i -> named_struct('i', i, 'b', concat(get(__w, i).w, ' ', get(__w, i + 1).w), 'line', get(__w, i).line, 'last', get(__w, i + 1).line))"))
+    every = ", ".join(f"'{g}'" for g in sorted({g for v in known.values() for g in v}))
+    d = d.select("doc_id", "__g", row("__h", f"filter(__g, x -> x.b in ({every}))")).where(F.size("__h") >= min(lo for lo, _ in bounds.values()))
+    runs = "concat(" + ", ".join(_runs(k, v, pairs[k], threshold) for k, v in known.items()) + ")"
+    d = d.select("doc_id", "__g", row("__r", runs)).where("size(__r) > 0")
+    d = d.select("doc_id", "__g", row("__r", _apart("__r", "when a.common <> b.common then b.common - a.common when a.dice > b.dice then -1 when a.dice < b.dice then 1")))
+    shown = " or ".join(f"(size(__b) between {bounds[k][0]} and {bounds[k][1]} and 2D * size(array_intersect(__b, {_array(v)})) / (size(__b) + {len(v)}) >= {threshold}D)" for k, v in known.items())
+    d = d.select("doc_id", "__g", "__r", row("__b", "array_distinct(transform(__g, x -> x.b))")).where(f"not ({shown})")
+    d = d.select("doc_id", "__g", F.explode("__r").alias("__r"))
+    own = d.select("doc_id", "__r", row("__b", "array_distinct(transform(filter(__g, x -> x.line = __r.line and x.last = __r.line), x -> x.b))"))
+    return own.where(f"__r.line <> __r.last or not ({shown})").select("doc_id", F.col("__r.line").cast("long").alias("line_no"), "__r.license", F.expr("round(__r.dice, 9)").alias("dice"))
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, line_no, license, dice): the best template of each line, and of each whole text as line -1."""
+    """(doc_id, line_no, license, dice): the best template of each line, of each whole text as line -1, and passages."""
     known = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     bounds = {k: size_bounds(len(v), threshold) for k, v in known.items()}
     least = min(lo for lo, _ in bounds.values())
@@ -72,7 +138,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
         scores.append(F.when(F.col("__n").between(lo, hi), F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
     ranked = units.withColumn("__s", F.array(*scores))
     best = F.expr(f"array_sort(filter(__s, x -> x is not null and x.dice >= {threshold}D), (a, b) -> case when a.dice > b.dice then -1 when a.dice < b.dice then 1 when a.license < b.license then -1 else 1 end)")
-    return ranked.withColumn("__best", best).where(F.size("__best") > 0).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.expr("__best[0].license").alias("license"), F.expr("round(__best[0].dice, 9)").alias("dice"))
+    found = ranked.withColumn("__best", best).where(F.size("__best") > 0).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.expr("__best[0].license").alias("license"), F.expr("round(__best[0].dice, 9)").alias("dice"))
+    pairs = {k: len(re.findall(r"[^\W_]+", v.lower())) - 1 for k, v in (templates or TEMPLATES).items()}
+    return found.unionByName(passages(d, known, pairs, threshold))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -216,6 +216,53 @@ def test_license_scan(spark):
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Example Ltd.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_HEADER = """// Copyright 2020 Example Ltd.
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+int main() { return the_answer(); }
+"""
+
+
+def test_license_scan_passages(spark):
+    """Wrapped, embedded and full-file notices, against all runs of words by brute force."""
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n" + LONG[:2000]
+    cc = license_scan.TEMPLATES["cc-by-4.0"]
+    rows = [(1, MIT_FILE, None, None), (2, "Copyright 2020 Example Ltd. Released under the MIT License.", None, None), (3, APACHE_HEADER + LONG[:2000], None, None), (4, LONG + "\n" + gpl, None, None), (5, f"alpha beta gamma delta epsilon zeta eta theta {cc} and words after it that go on and on", None, None), (6, "x y z\n" * 30 + "Released\nunder the MIT\nLicense.\n" + LONG[:300] + " Released under the MIT License or not", None, None), (7, "permission license software conditions " * 50, None, None)]
+    got = {}
+    for r in license_scan.scan(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["line_no"], r["license"], r["dice"]))
+    assert {k: {x[:2] for x in v} for k, v in got.items()} == {1: {(4, "mit-grant")}, 2: {(0, "mit")}, 3: {(2, "apache-2.0"), (2, "apache-2.0-header")}, 4: {(1, "gpl-3.0-header")}, 5: {(0, "cc-by-4.0")}, 6: {(30, "mit"), (33, "mit")}}
+    known = {k: set(license_scan.template_bigrams(v)) for k, v in license_scan.TEMPLATES.items()}
+    for d, text in texts(rows):
+        w = re.findall(r"[^\W_]+", text.lower())
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        for name, grams in known.items():
+            starts = [i for i, g in enumerate(pairs) if g in grams]
+            best = max((2 * len(set(pairs[i:j]) & grams) / (len(set(pairs[i:j])) + len(grams)) for i in starts for j in range(i + 1, min(len(pairs), i + 80) + 1)), default=0)
+            own = [x[2] for x in got.get(d, ()) if x[1] == name]
+            assert not own or max(own) == pytest.approx(best, abs=1e-9) or name == "apache-2.0", (d, name)
+            assert best < 0.8 or got.get(d), (d, name)
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(20))
     items = [(1, item), (2, "tiny Item"), (3, None), (4, "..."), (5, item), (None, "tiny item")]
