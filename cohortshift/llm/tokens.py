@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 
@@ -19,6 +21,13 @@ CACHE_ENTRIES = 800_000
 TEXTS_AT_ONCE = 8
 
 
+@cache
+def _stays_a_letter(c: str) -> bool:
+    """Whether a letter is one letter after NFC and lower-casing; others end in a combining mark, as capital dotted I does."""
+    c = unicodedata.normalize("NFC", c).lower()
+    return len(c) == 1 and c.isalpha()
+
+
 def _places_of_none(items: list):
     i = -1
     try:
@@ -99,8 +108,8 @@ class ChunkEncoder:
         return ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
 
     def encode_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """A letter and a punctuation mark after it never share a token, so 'word,' costs what 'word' does."""
-        cut = [c for c in chunks if c[-1] in ".,;:!?" and len(c) > 1 and c[-2].isalpha()]
+        """A letter that stays one and a punctuation mark after it never share a token, so 'word,' costs what 'word' does."""
+        cut = [c for c in chunks if c[-1] in ".,;:!?" and len(c) > 1 and c[-2].isalpha() and _stays_a_letter(c[-2])]
         whole = chunks.difference(cut)
         whole.update([c[:-1] for c in cut], [c[-1] for c in cut])
         whole.difference_update(self.cache.keys() & whole)

@@ -77,6 +77,19 @@ def test_chunk_encoder(name):
         assert fast.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_letters_that_fall_apart_before_marks(name):
+    """Capital dotted I and composed nukta letters become a letter and a combining mark, which joins the punctuation."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain, fast = Tokenizer.from_file(path), tokens.ChunkEncoder(path)
+    odd = ["x" + chr(c) for c in (0x130, *range(0x958, 0x960), 0x9DC, 0xFB2A, 0xE9, 0x1E9E, 0x1F71)] + ["BİLGİ", "sad\u0958", "word"]
+    for w in odd:
+        for mark in ".,;:!?":
+            assert fast.encode(f"a {w}{mark} b").tolist() == plain.encode(f"a {w}{mark} b", add_special_tokens=False).ids, (w, mark)
+
+
 def encoded(name, end):
     enc = tokens.ChunkEncoder(public_tokenizers.path(name))
     return [(d, np.append(enc.encode(t or ""), end).astype("<u4")) for d, t in texts()]
