@@ -229,14 +229,18 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
     return float(max(0.0, digamma(n) + mean(1) - mean(2) - mean(3)))
 
 
-def _hull(x, f, sign):
-    """The convex minorant (sign 1) or concave majorant (sign -1) of points, at all points."""
-    keep = []
-    for i in range(len(x)):
-        while len(keep) > 1 and sign * (f[keep[-1]] - f[keep[-2]]) * (x[i] - x[keep[-2]]) >= sign * (f[i] - f[keep[-2]]) * (x[keep[-1]] - x[keep[-2]]):
-            keep.pop()
-        keep.append(i)
-    return np.interp(x, x[keep], f[keep])
+def _gaps_to_hull(x, f, high, stops):
+    """The largest high - minorant of the points (x, f) up to each of the ascending stops; one pass for all."""
+    keep, out, at = [], [], 0
+    xs, fs = x.tolist(), f.tolist()
+    for stop in stops:
+        for i in range(at, stop + 1):
+            while len(keep) > 1 and (fs[keep[-1]] - fs[keep[-2]]) * (xs[i] - xs[keep[-2]]) >= (fs[i] - fs[keep[-2]]) * (xs[keep[-1]] - xs[keep[-2]]):
+                keep.pop()
+            keep.append(i)
+        at = stop + 1
+        out.append((high[:at] - np.interp(x[:at], x[keep], f[keep])).max())
+    return np.array(out)
 
 
 def dip(x: np.ndarray, modes: int = 24) -> float:
@@ -245,19 +249,29 @@ def dip(x: np.ndarray, modes: int = 24) -> float:
     if len(v) < 3:
         return 0.0
     top = np.cumsum(n) / len(x)
-    low, best = top - n / len(x), 1.0
-    for m in np.unique(np.linspace(1, len(v) - 2, modes).astype(int)):
-        left = (top[: m + 1] - _hull(v[: m + 1], low[: m + 1], 1)).max()
-        right = (_hull(v[m:], top[m:], -1) - low[m:]).max()
-        best = min(best, max(left, right))
-    return float(best / 2)
-
-
-def dip_p(x: np.ndarray, rng, draws: int = 40, cap: int = 400) -> float:
-    """The share of uniform samples with a larger dip."""
-    s = x if len(x) <= cap else rng.choice(x, cap, replace=False)
-    own = dip(s)
-    return float(np.mean([dip(rng.random(len(s))) >= own for _ in range(draws)]))
+    low = top - n / len(x)
+    m = np.unique(np.linspace(1, len(v) - 2, modes).astype(int))
+    left = _gaps_to_hull(v, low, top, m)
+    # the majorant from m on is the minorant of the mirrored points
+    right = _gaps_to_hull(-v[::-1], -top[::-1], -low[::-1], len(v) - 1 - m[::-1])[::-1]
+    return float(min(1.0, np.maximum(left, right).min()) / 2)
+
+
+def spread_ties(x: np.ndarray) -> np.ndarray:
+    """Equal values dealt evenly between the midpoints to their neighbours, so that steps of a grid are no modes."""
+    v, n = np.unique(x, return_counts=True)
+    if len(v) < 2 or len(v) == len(x):
+        return x
+    half = np.diff(v) / 2
+    lo, hi = v - np.concatenate([half[:1], half]), v + np.concatenate([half, half[-1:]])
+    place = (np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + 0.5) / np.repeat(n, n)
+    return np.where(np.repeat(n, n) > 1, np.repeat(lo, n) + place * np.repeat(hi - lo, n), np.repeat(v, n))
+
+
+def dip_p(x: np.ndarray, rng, draws: int = 40) -> float:
+    """The share of uniform samples of the same size with a larger dip."""
+    own = dip(spread_ties(x))
+    return float(np.mean([dip(rng.random(len(x))) >= own for _ in range(draws)]))
 
 
 def mixture(x: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

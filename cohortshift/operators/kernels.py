@@ -36,7 +36,7 @@ def mutual_information(long: DataFrame, keys: list[str], cap: int = 20_000) -> D
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", mi double, mi_normalized double")
 
 
-def modes(long: DataFrame, keys: list[str], cap: int = 10_000) -> DataFrame:
+def modes(long: DataFrame, keys: list[str], cap: int = 50_000) -> DataFrame:
     """(keys, n_modes, modes): modes of non-zero values, centre first, as an array of structs."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:

@@ -56,6 +56,15 @@ def test_modes():
     assert [round(m[0]) for m in found] == [-6, 6] and found[0][2] == pytest.approx(0.6, abs=0.03)
 
 
+def test_small_second_mode():
+    """The dip test sees all values, so a mode of a few percent is not lost; steps of a grid are no modes."""
+    x = np.concatenate([np.random.default_rng(7).normal(0, 1, 9600), np.random.default_rng(8).normal(8, 0.5, 400)])
+    found = K.fit_modes(x, np.random.default_rng(1))
+    assert [round(m[0]) for m in found] == [0, 8] and found[1][2] == pytest.approx(0.04, abs=0.005)
+    grid = np.random.default_rng(9).integers(1, 51, 20_000).astype(float)
+    assert len(K.fit_modes(grid, np.random.default_rng(1))) == 1
+
+
 def test_signed_rank_exact():
     assert K.signed_rank_p(np.array([1.0, 2, 3, 4, 5])) == (0.0, pytest.approx(2 / 32))
     assert K.signed_rank_p(np.zeros(4)) == (0.0, 1.0)
