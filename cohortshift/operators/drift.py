@@ -54,6 +54,13 @@ def ks(long: DataFrame) -> DataFrame:
     return r.groupBy("feature").agg(F.max(F.abs(F.try_divide("ca", "ca_all") - F.try_divide("cb", "cb_all"))).alias("ks"))
 
 
+def exact_distances(long: DataFrame) -> DataFrame:
+    """(feature, metric, exact): the distances that counts of all rows give."""
+    d = rank_distances(long).join(ks(long), "feature")
+    names = {"wasserstein_qn": "wasserstein_qn", "energy_distance": "energy", "ks_statistic": "ks"}
+    return d.select("feature", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("exact")) for m, c in names.items()))).alias("m")).select("feature", "m.metric", "m.exact")
+
+
 def jensen_shannon(long: DataFrame, top: int = CONFIG.js_top) -> DataFrame:
     """Distance (the root, in nats) of the distributions over the most frequent values and the rest."""
     c = value_counts(finite_rows(long), ["feature"], _sides())

@@ -92,18 +92,24 @@ def c2st(long: DataFrame, cap: int = CONFIG.c2st_sample) -> DataFrame:
     return rows.groupBy("feature", "slice").applyInPandas(run, "feature string, slice string, auc double, ci_low double, ci_high double, null_floor double, n_a long, n_b long")
 
 
-def distances(long: DataFrame, metrics: list[str], cap: int = 2000) -> DataFrame:
-    """(feature, metric, raw, null_floor): corroboration distances of the cohorts, pooled, with their nulls."""
+#: Rows a side of each distance and of its null: at least the reference's; kernels compare all pairs.
+DISTANCE_ROWS = {m: 2000 if m == "mmd" else 100_000 for m in lib1d.METRICS}
+
+
+def distances(long: DataFrame, metrics: list[str], caps: dict[str, int] = DISTANCE_ROWS) -> DataFrame:
+    """(feature, metric, raw, null_floor): corroboration distances of the cohorts, pooled, with their nulls at the same size."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         feature = g["feature"].iloc[0]
-        a, b = (g.loc[g["cohort"] == c, "value"].to_numpy() for c in "AB")
+        sides = [np.sort(g.loc[g["cohort"] == c, "value"].to_numpy()) for c in "AB"]
         rows = []
         for m in metrics:
             rng = _rng(feature, m)
+            a, b = (s if len(s) <= caps[m] else rng.choice(s, caps[m], replace=False) for s in sides)
             rows.append((feature, m, lib1d.METRICS[m](a, b, rng), lib1d.permutation_null(a, b, lib1d.METRICS[m], lib1d.RESPLITS[m], rng)))
         return pd.DataFrame(rows)
 
+    cap = max(caps[m] for m in metrics)
     rows = random_cap(finite_rows(long), ["feature", "cohort"], F.expr(ROW_KEY), cap, few_groups=True).select("feature", "cohort", "value")
     return rows.groupBy("feature").applyInPandas(run, "feature string, metric string, raw double, null_floor double")
 

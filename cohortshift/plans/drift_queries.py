@@ -43,10 +43,16 @@ def drf_02(spark, d):
     return _round(a.select("feature", "auc", F.greatest(F.lit(0.0), C("auc") - C("h")).alias("ci_low"), F.least(F.lit(1.0), C("auc") + C("h")).alias("ci_high")), "auc", "ci_low", "ci_high")
 
 
+def _distances(long, metrics):
+    """Distances with null floors from samples; raw values come from all rows where counts give them."""
+    both = N.distances(long, metrics).join(D.exact_distances(long), ["feature", "metric"], "left")
+    return both.select("feature", "metric", F.coalesce("exact", "raw").alias("raw"), "null_floor")
+
+
 @query("DRF-03")
 def drf_03(spark, d):
     """Raw distances with the 95th percentile of their permutation nulls."""
-    return N.distances(long_view(spark, d), ["wasserstein_qn", "ks_statistic", "energy_distance"])
+    return _distances(long_view(spark, d), ["wasserstein_qn", "ks_statistic", "energy_distance"])
 
 
 @query("DRF-04")
@@ -92,7 +98,7 @@ def drf_10(spark, d):
 @query("DRF-11")
 def drf_11(spark, d):
     """Unbiased MMD with an RBF kernel."""
-    return N.distances(long_view(spark, d), ["mmd"], cap=500)
+    return N.distances(long_view(spark, d), ["mmd"])
 
 
 @query("DRF-12", f"WITH {CNT}, k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY a + b DESC, value) AS k FROM t), p AS (SELECT feature, a / ta AS p, b / tb AS q FROM k WHERE k <= 50 UNION ALL SELECT feature, coalesce(sum(a) FILTER (WHERE k > 50), 0) / max(ta), coalesce(sum(b) FILTER (WHERE k > 50), 0) / max(tb) FROM k GROUP BY 1) SELECT feature, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2)), 5) AS jensen_shannon FROM p GROUP BY 1")
@@ -105,7 +111,7 @@ def drf_13(spark, d):
     """The battery of a route's metric family: counts for nominal features, ranks and kernels for continuous ones."""
     long = long_view(spark, d)
     nominal = N.distances(long.where("feature in ('code')"), ["jensen_shannon"])
-    return nominal.unionByName(N.distances(long.where("feature not in ('code')"), ["wasserstein_qn", "mmd", "energy_distance", "anderson_darling", "ks_statistic"], cap=500))
+    return nominal.unionByName(_distances(long.where("feature not in ('code')"), ["wasserstein_qn", "mmd", "energy_distance", "anderson_darling", "ks_statistic"]))
 
 
 @query("DRF-14")

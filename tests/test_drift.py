@@ -36,3 +36,15 @@ def test_small_slices(spark):
     got = {r["slice"]: r for r in kernels.c2st(long).collect()}
     assert got["attack"]["auc"] is None and got["attack"]["n_a"] == 10
     assert got["benign"]["auc"] is not None and got["pooled"]["null_floor"] is not None
+
+
+def test_raw_distances_are_of_all_rows(spark):
+    """DRF-03's raw values are those of DRF-07 to DRF-09, and its floors are of samples as large as the reference's."""
+    q = registry.queries()
+    got = {(r["feature"], r["metric"]): r for r in q["DRF-03"](spark, SF).collect()}
+    for name, metric, column in (("DRF-07", "wasserstein_qn", "wasserstein_qn"), ("DRF-08", "energy_distance", "energy"), ("DRF-09", "ks_statistic", "ks")):
+        for r in q[name](spark, SF).collect():
+            assert got[r["feature"], metric]["raw"] == pytest.approx(r[column], abs=1e-6)
+    # 1.36 (2 / n)^0.5 bounds the 95th percentile of KS: 0.043 for 2,000 rows a side, 0.011 for 30,000
+    assert all(r["null_floor"] < 0.02 for (_, m), r in got.items() if m == "ks_statistic")
+    assert kernels.DISTANCE_ROWS == {m: 2000 if m == "mmd" else 100_000 for m in kernels.lib1d.METRICS}
