@@ -13,8 +13,9 @@ order. Windows are the suffixes cut at LENGTH bytes; equal ones must meet, and n
    repeated as a whole. The first of each kind, where an anchor has several kinds, is open: its windows may be
    repeated in part.
 4. The bytes of open runs (edges of repeats and edits) are fetched and dealt by anchor hash, and their suffixes
-   are sorted deep-shallow: multikey quicksort on 8-byte words to `SHALLOW` bytes, then blind tries order the
-   groups that still share their prefix. Equal windows are then neighbours; all but the earliest are repeated.
+   are sorted deep-shallow: np.lexsort on 8-byte words to `SHALLOW` bytes, in place of a multikey quicksort, then
+   blind tries order the groups that still share their prefix. Equal texts and runs never get here: steps 1 and 3
+   settle them by their hashes. Equal windows are then neighbours; all but the earliest are repeated.
 
 Groups of a run kind are never held: the stream keeps one row. Open groups hold different bytes only.
 
