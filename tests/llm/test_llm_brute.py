@@ -56,6 +56,20 @@ def test_line_dedup(spark):
     assert line_dedup.drop_bitmaps(table(spark, [])).count() == 0
 
 
+def test_line_dedup_repeated_ids(spark):
+    """Rows that share a doc_id keep their own lines; the oracle has a row for each of them too."""
+    rows = [(1, "aaaaaaaaaaaa\nx", None, 1), (2, "aaaaaaaaaaaa\nq", None, 1), (2, "unique line of text\nq", None, 1), (2, "unique line of text\nq", None, 1), (3, "unique line of text\nAAAAAAAAAAAA \nend", None, 1)]
+    df = table(spark, rows)
+    got = line_dedup.apply_bitmaps(df, line_dedup.drop_bitmaps(df)).collect()
+    assert sorted((r["doc_id"], r["__kept_text"], r["__n_dropped"]) for r in got) == [(1, "aaaaaaaaaaaa\nx", 0), (2, "q", 1), (2, "unique line of text\nq", 0), (2, "unique line of text\nq", 0), (3, "end", 2)]
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped FROM ({line_dedup.ORACLE}) ORDER BY ALL").fetchall()
+    assert want == sorted((r["doc_id"], r["__n_lines"], r["__n_dropped"]) for r in got)
+
+
 def test_chat_formatting(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "ho"), (3, 0, "user", "hi"), (3, 1, "assistant", "ho"), (4, 0, None, None), (5, 0, "user", "<|im_end|>"), (5, 0, "user", "<|im_end|>"), (None, 0, "user", "x"), (6, None, "user", "hi"), (6, 0, "user", "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("i", F.lit("clash")).withColumn("n", F.lit(0))
