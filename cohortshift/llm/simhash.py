@@ -1,14 +1,15 @@
 """SimHash near-duplicates through segment popcounts.
 
-A fingerprint is embedded as 32 popcounts of two bits each. The Manhattan distance of two embeddings is at
-most the Hamming distance, so fingerprints within 3 bits have at least 3 of 6 blocks of the embedding in
-common: each fingerprint goes to 20 grid cells, one for each choice of 3 blocks. Within a cell the total
-popcounts, sorted, bound the distance once more (a range join), and XOR verifies. A cell returns the links of
-a breadth-first search, fewer than its members, never all its pairs.
+A fingerprint is embedded as the popcounts of its 32 two-bit segments. The Manhattan distance of two embeddings
+is at most the Hamming distance, so of fingerprints within 3 bits the embeddings of the lower or of the upper 32
+bits differ by at most 1. The grid: each half's 16 counts, with cells one count wide. A fingerprint goes to its
+own cell of each half, and to the cells one count further along each axis: two points at distance 1 differ by one
+count on one axis, so they meet in the cell of the larger. That is some 26 rows for a fingerprint, at any size.
+Within a cell the total popcounts, sorted, bound the Manhattan distance of all segments once more (a range join),
+and XOR verifies. A cell returns the links of a breadth-first search, fewer than its members, never all its pairs.
 
-Equal fingerprints count once. A cell of over `cell_limit` fingerprints (near copies of one text) is read as a
-stream and handed on: its fingerprints meet again under all 560 masks of 3 out of 16 four-bit blocks, where a
-cell can't hold over 4096 different ones. No candidate is dropped.
+Equal fingerprints count once. A cell is held as 8 bytes for each different fingerprint; random ones crowd least
+(10^9 of them put 15,000 into the fullest cell), and near copies of one text leave the search as they are found.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; texts of one or two words are
 one shingle; rows without a doc_id are left out; repeated rows give repeated result rows of equal content;
@@ -17,17 +18,15 @@ other columns are not read.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, shuffle_partitions, small_batches
 
-SHINGLE, DISTANCE, CELL_LIMIT = 3, 3, 8192
+SHINGLE, DISTANCE = 3, 3
 PAIRS = 0x5555555555555555
-ALL = (1 << 64) - 1
+HALF = (1 << 32) - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -69,19 +68,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_masks(blocks: int, kept: int, unit: int) -> list[int]:
-    """Masks of `kept` out of `blocks` runs of units (of `unit` bits) of the 64 bits."""
-    units = 64 // unit
-    cuts = [units * i // blocks * unit for i in range(blocks + 1)]
-    runs = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [_signed(sum(c)) for c in combinations(runs, kept)]
-
-
-def _cells(fps: DataFrame, code, masks: list[int]) -> DataFrame:
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.expr("__code").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks))))
-    return fps.withColumn("__code", code).select("fp", cells.alias("c")).select("fp", "c.k", "c.cell")
-
-
 def _embedding():
     """Each two bits become their sum: hi & lo, hi ^ lo."""
     fp, lo = F.col("fp"), F.lit(PAIRS)
@@ -89,6 +75,19 @@ def _embedding():
     return F.shiftleft(hi.bitwiseAND(fp).bitwiseAND(lo), 1).bitwiseOR(hi.bitwiseXOR(fp).bitwiseAND(lo))
 
 
+def grid_cells(half: int) -> list[int]:
+    """The cell of a half's embedding, and those one count further along each axis."""
+    return [half, *(half + (1 << i) for i in range(0, 32, 2) if half >> i & 3 != 2)]
+
+
+def _cells(fps: DataFrame) -> DataFrame:
+    """(half, cell, fp): grid_cells in SQL. The embedding is unrolled once; a count of 3 does not exist."""
+    code = fps.select("fp", F.explode(F.array(_embedding())).alias("code"))
+    halves = F.posexplode(F.array(F.col("code").bitwiseAND(F.lit(HALF)), F.shiftrightunsigned("code", 32)))
+    steps = F.expr("transform(filter(sequence(0, 30, 2), i -> (shiftright(at, i) & 3L) <> 2L), i -> at + shiftleft(1L, i))")
+    return code.select("fp", halves.alias("half", "at")).select("half", F.explode(F.concat(F.array("at"), steps)).alias("cell"), "fp")
+
+
 def search(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links that connect the members of a cell within the distance, by breadth-first search."""
     if len(fps) == 2:
@@ -111,66 +110,60 @@ def search(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return links
 
 
-def _links_in_cells(cells: DataFrame, limit: int, distance: int) -> DataFrame:
-    """(a, b): links of fingerprints in a cell; b is null for members of cells beyond the limit."""
+def _links_in_cells(cells: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect the fingerprints of each cell."""
     parts = shuffle_partitions(cells.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        held, key, full = [], None, False
-
-        def close():
-            if len(held) == 1 and len(held[0]) < 2 or not held:
-                return [], []
-            fps = np.concatenate(held)
-            pairs = search(fps.view(np.uint64), distance)
-            return fps[[p[0] for p in pairs]].tolist() if pairs else [], fps[[p[1] for p in pairs]].tolist() if pairs else []
-
-        for b in batches:
-            k, cell, fp = (b.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (cell[1:] != cell[:-1])) + 1
-            left, right = [], []
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
-                if (k[i], cell[i]) != key:
-                    x, y = close()
-                    left += x
-                    right += y
-                    held, key, full = [], (k[i], cell[i]), False
-                if not full and sum(map(len, held)) + j - i > limit:
-                    for h in held:
-                        left += h.tolist()
-                        right += [None] * len(h)
-                    held, full = [], True
-                if full:
-                    left += fp[i:j].tolist()
-                    right += [None] * (j - i)
-                elif j - i > 1 or held or j == len(fp):
-                    held.append(fp[i:j].copy())
-            yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-        x, y = close()
-        yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-
-    dealt = cells.select("k", "cell", "fp").repartition(parts, "k", "cell").sortWithinPartitions("k", "cell")
+        # the last cell of a batch may go on in the next
+        held, key = [], None
+
+        def linked(fps):
+            pairs = np.array(search(fps.view(np.uint64), distance) if len(fps) > 1 else [], int).reshape(-1, 2)
+            return fps[pairs[:, 0]], fps[pairs[:, 1]]
+
+        def links(found):
+            return pa.record_batch({c: pa.array(np.concatenate([f[i] for f in found])) for i, c in enumerate("ab")})
+
+        for batch in batches:
+            half, cell, fp = (batch.column(i).to_numpy() for i in range(3))
+            if not len(fp):
+                continue
+            cuts = np.flatnonzero((half[1:] != half[:-1]) | (cell[1:] != cell[:-1])) + 1
+            begins, ends = np.append(0, cuts), np.append(cuts, len(fp))
+            found = [(np.empty(0, np.int64),) * 2]
+            inner = np.flatnonzero(ends - begins > 1)
+            for i, j in zip(begins[inner].tolist(), ends[inner].tolist(), strict=True):
+                if 0 < i and j < len(fp):
+                    found.append(linked(fp[i:j]))
+            for n in sorted({0, len(cuts)}):
+                i, j = begins[n], ends[n]
+                if (half[i], cell[i]) != key and held:
+                    found.append(linked(np.concatenate(held)))
+                    held = []
+                held.append(fp[i:j].copy())
+                key = half[i], cell[i]
+            yield links(found)
+        if held:
+            yield links([linked(np.concatenate(held))])
+
+    dealt = cells.select("half", "cell", "fp").repartition(parts, "half", "cell").sortWithinPartitions("half", "cell")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def fingerprint_links(fps: DataFrame, scratch: Scratch, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def fingerprint_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all fingerprints within 3 bits of each other; fps is distinct."""
-    first = scratch.save(_links_in_cells(_cells(fps, _embedding(), block_masks(6, 3, 2)), cell_limit, DISTANCE), "links")
-    hot = first.where("b is null").select(F.col("a").alias("fp")).distinct()
-    links = first.where("b is not null")
-    if not hot.isEmpty():
-        links = links.unionByName(_links_in_cells(_cells(hot, F.col("fp"), block_masks(16, 13, 4)), 1 << 12, DISTANCE))
-    return links
+    return scratch.save(_links_in_cells(_cells(fps), DISTANCE), "links")
 
 
-def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs), "prints")
     least = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "least")
-    roots = scratch.save(components(fingerprint_links(least.select("fp"), scratch, cell_limit), scratch), "roots").withColumnRenamed("node", "fp")
+    roots = scratch.save(components(fingerprint_links(least.select("fp"), scratch), scratch), "roots").withColumnRenamed("node", "fp")
     classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_print = classes.join(smallest, "root").select("fp", "component_id")

@@ -153,32 +153,32 @@ def test_plan_places_every_token_once():
 def test_simhash(spark):
     near = [(100 + i, " ".join(np.where(RNG.random(300) < 0.003, "changed", RNG.permutation(WORDS)[0]).tolist()) if i % 7 == 0 else LONG[: 4000 + i % 2], None, None) for i in range(60)]
     rows = DOCS + near
-    for limit in (simhash.CELL_LIMIT, 2):  # the second sends crowded cells to the exact masks
-        got = simhash.near_duplicates(table(spark, rows), cell_limit=limit).collect()
-        prints = {}
-        for d, t in texts(rows):
-            w = [x for x in re.split("[\x20\x09-\x0d]+", lower(t or "")) if x]
-            h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
-            prints[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-        assert {r["doc_id"]: r["fp"] % (1 << 64) for r in got} == prints and len(got) == len(texts(rows))
-        root = {d: d for d in prints}
-        for _ in prints:
-            for a in prints:
-                for b in prints:
-                    if (prints[a] ^ prints[b]).bit_count() <= 3:
-                        root[a] = root[b] = min(root[a], root[b])
-        assert {r["doc_id"]: r["component_id"] for r in got} == root
+    got = simhash.near_duplicates(table(spark, rows)).collect()
+    prints = {}
+    for d, t in texts(rows):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lower(t or "")) if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in got} == prints and len(got) == len(texts(rows))
+    root = {d: d for d in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"]: r["component_id"] for r in got} == root
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
 def test_simhash_dense_cells(spark):
-    """Fingerprints in a ball: crowded cells go to the masks, and the components stay those of all pairs."""
+    """Fingerprints in a ball: a crowded cell spans Arrow batches, and the components stay those of all pairs."""
     base = int(RNG.integers(1 << 62))
     fps = sorted({base ^ sum(1 << int(b) for b in RNG.integers(0, 40, RNG.integers(0, 9))) for _ in range(300)})
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    for limit in (4096, 16):
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         scratch = Scratch(spark)
-        roots = {r["node"] % (1 << 64): r["root"] for r in components(simhash.fingerprint_links(df, scratch, limit), scratch).collect()}
+        roots = {r["node"] % (1 << 64): r["root"] for r in components(simhash.fingerprint_links(df, scratch), scratch).collect()}
         x = np.array(fps, np.uint64)
         near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
         reach = near.copy()
