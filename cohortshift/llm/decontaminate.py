@@ -2,17 +2,20 @@ r"""Benchmark decontamination, native: a positional inverted index of the traini
 the rarest words of each test window outwards.
 
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased. A window is 13 consecutive
-words of an item, or a shorter item as a whole. The index holds postings (term, document, position) only of
-terms that a look-up needs: each window is anchored at its rarest term in the corpus; its postings give the
-window's start, the list of the second-rarest term is intersected at the adjusted offset, and the words left
-are compared last. A document word inside any occurrence is hit.
-
-The test side is broadcast only if its text is under `BROADCAST_BYTES`; beyond that the same joins shuffle.
+words of an item, or a shorter item as a whole. The corpus is split into words once, into a saved table. Terms
+are counted there by partial aggregates before any join. Each window's two rarest terms in the corpus are looked
+up: the stored index holds the postings (term, row, position) of these terms only. The rarest term's postings
+give a window's start, the list of the other is intersected at the adjusted offset, and the words left are
+compared last, a document's candidates at once. A document word inside any occurrence is hit.
+
+There is one plan for every size, without hints: tables of the test side are saved, so Spark knows their sizes and
+broadcasts those under its own threshold. A term with over 1/`HOT_SHARE` of all words is hot (at most HOT_SHARE terms
+are, whatever the corpus); its postings are dealt over `SALTS` salts, and its rows of the test side copied to each.
 Hits are few (they are real occurrences), and what is grouped is bounded by one document's own words.
 
 Defined cases: null and empty texts have no words (n_words 0, nothing hit); items without words match nothing;
-repeated items and items of equal windows each count by item_id; rows without a doc_id are left out; an empty
-benchmark leaves every document clean; other columns are not read.
+repeated items and items of equal windows each count by item_id; rows without a doc_id are left out; rows that
+share a doc_id are rows of their own; an empty benchmark leaves every document clean; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,98 +27,102 @@ from .common import Scratch, ascii_lower
 
 WINDOW = 13
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Text of the test side up to which it is broadcast; its windows take about 20 times this.
-BROADCAST_BYTES = 4 << 20
+HOT_SHARE, SALTS = 1000, 32
 
 
 def words(text: str) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NON_WORD, -1), lambda w: w != "")
 
 
-def _sized(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def split_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, doc_id, words), saved; uid names a row."""
+    rows = docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("uid"), "doc_id", words("text").alias("words"))
+    return scratch.save(rows, "words")
 
 
-def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(term, doc_id, pos, ...): the index, restricted to the given terms, with their columns."""
-    p = docs.where("doc_id is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "term"))
-    return p.join(_sized(terms, small), "term")
+def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(window, items): the distinct windows, as arrays of words, and the items that have them."""
+    items = benchmark.where("item_id is not null").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
+    cut = f"transform(sequence(0, greatest(size(w) - {size}, 0)), i -> slice(w, i + 1, {size}))"
+    windows = items.select(F.col("item_id").cast("string").alias("item"), F.explode(F.expr(cut)).alias("window"))
+    return windows.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def is_small(benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= limit
+def term_frequencies(corpus: DataFrame, windows: DataFrame) -> DataFrame:
+    """(term, n, hot): postings in the corpus of each term of the test side that it has."""
+    n = corpus.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    total = corpus.agg(F.sum(F.size("words")).alias("total"))
+    known = n.join(windows.select(F.explode("window").alias("term")).distinct(), "term", "left_semi")
+    # one row of totals
+    return known.join(F.broadcast(total)).select("term", "n", (F.col("n") * HOT_SHARE > F.col("total")).alias("hot"))
 
 
-def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(window, item_id, at): each window of each item, as an array of words."""
-    items = benchmark.where("item_id is not null").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
-    return items.select("item_id", F.posexplode(F.expr(f"transform(sequence(0, greatest(size(w) - {size}, 0)), i -> slice(w, i + 1, {size}))")).alias("at", "window"))
+def anchored(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(term, off, hot, term2, off2, window, len, items): windows at their two rarest terms; those with an absent term can't occur."""
+    t = windows.select("window", F.posexplode("window").alias("off", "term")).join(frequencies, "term")
+    ranked = t.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term", "hot"))).alias("r")).where("size(r) = size(window)")
+    at = "r[least(1, size(r) - 1)]"
+    ranked = ranked.selectExpr("r[0].term AS term", "r[0].off AS off", "r[0].hot AS hot", f"{at}.term AS term2", f"{at}.off AS off2", "window", "size(window) AS len")
+    return ranked.join(windows, "window")
 
 
-def term_frequencies(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """(term, n): postings in the corpus of each term of the test side; 0 for terms it lacks."""
-    vocab = windows.select(F.explode("window").alias("term")).distinct()
-    d = docs.where("doc_id is not null").select(F.explode(words("text")).alias("term"))
-    seen = d.join(_sized(vocab, small), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return vocab.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def _salted(terms: DataFrame) -> DataFrame:
+    """Rows of the test side, those of hot terms once for each salt."""
+    return terms.withColumn("salt", F.explode(F.expr(f"if(hot, sequence(0, {SALTS - 1}), array(0))")))
 
 
-def anchored(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(term, off, term2, off2, window, len): distinct windows at their two rarest terms; windows with an absent term can't occur."""
-    distinct = windows.select("window").distinct()
-    t = distinct.select("window", F.posexplode("window").alias("off", "term")).join(frequencies, "term")
-    ranked = t.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("r")).where("r[0].n > 0")
-    return ranked.select(F.expr("r[0].term").alias("term"), F.expr("r[0].off").alias("off"), F.expr("r[least(1, size(r) - 1)].term").alias("term2"), F.expr("r[least(1, size(r) - 1)].off").alias("off2"), "window", F.size("window").alias("len"))
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, start, len, window): each occurrence of each test window."""
-    small = is_small(benchmark)
-    windows = test_windows(benchmark, size)
-    anchors = anchored(windows, term_frequencies(docs, windows, small))
-    if small:
-        # one pass: the document's words are at hand where a posting meets its windows
-        d = docs.where("doc_id is not null").select("doc_id", words("text").alias("words"))
-        hit = d.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(_sized(anchors, small), "term").withColumn("start", F.expr("pos - off"))
-        hit = hit.where("start >= 0 and start + len <= size(words)").where("get(words, start + off2) = term2").where("slice(words, greatest(start, 0) + 1, len) = window")
-        return hit.select("doc_id", "start", "len", "window").distinct()
-    # narrow postings move, lists intersect at adjusted offsets, and each document's candidates meet its words once
-    terms = anchors.select("term").union(anchors.select("term2")).distinct()
-    index = postings(docs, terms, small)
-    second = index.select("doc_id", F.col("term").alias("term2"), F.col("pos").alias("at2"))
-    both = index.join(anchors, "term").withColumn("start", F.expr("pos - off")).withColumn("at2", F.expr("start + off2")).where("start >= 0").join(second, ["doc_id", "term2", "at2"], "left_semi")
-    found = both.groupBy("doc_id").agg(F.collect_set(F.struct("start", "len", "window")).alias("found"))
-    d = docs.where("doc_id is not null").select("doc_id", words("text").alias("words")).join(found, "doc_id")
-    exact = d.select("doc_id", F.explode(F.expr("filter(found, c -> slice(words, c.start + 1, c.len) = c.window)")).alias("c"))
-    return exact.select("doc_id", "c.start", "c.len", "c.window").distinct()
+def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, salt, uid, pos): the index, restricted to the given terms (term, hot)."""
+    hot = [r["term"] for r in terms.where("hot").select("term").collect()]  # at most HOT_SHARE
+    salt = F.pmod(F.xxhash64("uid", "pos"), F.lit(SALTS)).cast("int")
+    p = corpus.select("uid", F.posexplode("words").alias("pos", "term"))
+    p = p.withColumn("salt", F.when(F.col("term").isin(hot), salt).otherwise(0) if hot else F.lit(0))
+    return p.join(_salted(terms).select("term", "salt"), ["term", "salt"], "left_semi").select("term", "salt", "uid", "pos")
+
+
+def phrase_matches(corpus: DataFrame, windows: DataFrame, frequencies: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, start, len, items): each occurrence of each test window."""
+    anchors = scratch.save(anchored(windows, frequencies), "anchors")
+    needed = anchors.select("term").union(anchors.select("term2")).distinct()
+    index = scratch.save(postings(corpus, scratch.save(frequencies.join(needed, "term", "left_semi"), "terms")), "index")
+    first = index.join(_salted(anchors).drop("hot"), ["term", "salt"]).withColumn("start", F.expr("pos - off")).where("start >= 0")
+    second = index.select("uid", F.col("term").alias("term2"), (F.col("pos")).alias("at2"))
+    both = first.withColumn("at2", F.expr("start + off2")).join(second, ["uid", "term2", "at2"], "left_semi")
+    found = both.groupBy("uid").agg(F.collect_list(F.struct("start", "len", "window", "items")).alias("found"))
+    exact = F.expr("filter(found, c -> slice(words, c.start + 1, c.len) = c.window)")
+    return corpus.select("uid", "words").join(found, "uid").select("uid", F.explode(exact).alias("c")).select("uid", "c.start", "c.len", "c.items")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, within: int = 30, size: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, at): places where an item's rarest terms all stand within so many words, in any order."""
-    small = is_small(benchmark)
-    windows = test_windows(benchmark, size)
-    freq = term_frequencies(docs, windows, small).where("n > 0")
-    item_terms = windows.select("item_id", F.explode("window").alias("term")).distinct().join(freq, "term")
-    rare = item_terms.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term"))).where(F.col("k") <= terms)
-    rare = rare.withColumn("need", F.count("*").over(Window.partitionBy("item_id")))
-    p = postings(docs, rare.select("term", "item_id", "need"), small).select("doc_id", "item_id", "need", "pos", "term")
-    near = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(-within, 0)
-    return p.withColumn("have", F.size(F.collect_set("term").over(near))).where("have = need").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    corpus, windows = split_words(docs, scratch), scratch.save(test_windows(benchmark, size), "windows")
+    freq = scratch.save(term_frequencies(corpus, windows), "terms")
+    items = benchmark.where("item_id is not null").select("item_id", F.explode(words("text")).alias("term")).distinct().join(freq, "term")
+    rare = items.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term"))).where(F.col("k") <= terms)
+    rare = scratch.save(rare.withColumn("need", F.count("*").over(Window.partitionBy("item_id"))), "rare")
+    index = postings(corpus, rare.select("term", "hot").distinct())
+    p = index.join(_salted(rare), ["term", "salt"]).select("uid", "item_id", "need", "pos", "term")
+    near = Window.partitionBy("uid", "item_id").orderBy("pos").rangeBetween(-within, 0)
+    at = p.withColumn("have", F.size(F.collect_set("term").over(near))).where("have = need")
+    return at.join(corpus.select("uid", "doc_id"), "uid").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: n_words, n_hit, items (sorted as strings) and contaminated."""
-    hits = Scratch(docs.sparkSession).save(phrase_matches(docs, benchmark, size), "hits")  # read twice
-    order = Window.partitionBy("doc_id").orderBy("start", "len")
-    spans = hits.select("doc_id", "start", "len").distinct()
+    scratch = Scratch(docs.sparkSession)
+    corpus, windows = split_words(docs, scratch), scratch.save(test_windows(benchmark, size), "windows")
+    freq = scratch.save(term_frequencies(corpus, windows), "terms")
+    hits = scratch.save(phrase_matches(corpus, windows, freq, scratch), "hits")  # read twice
+    order = Window.partitionBy("uid").orderBy("start", "len")
+    spans = hits.select("uid", "start", "len").distinct()
     reached = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gained = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", F.coalesce(reached, F.col("start"))))
-    covered = spans.withColumn("g", gained).groupBy("doc_id").agg(F.sum("g").cast("long").alias("n_hit"))
-    owners = _sized(test_windows(benchmark, size).select("window", F.col("item_id").cast("string").alias("item")).distinct(), is_small(benchmark))
-    items = hits.select("doc_id", "window").distinct().join(owners, "window").groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    d = docs.where("doc_id is not null").select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    out = d.join(covered, "doc_id", "left").join(items, "doc_id", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    covered = spans.withColumn("g", gained).groupBy("uid").agg(F.sum("g").cast("long").alias("n_hit"))
+    items = hits.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = corpus.select("uid", "doc_id", F.size("words").cast("long").alias("n_words")).join(covered.join(items, "uid"), "uid", "left")
+    none = F.expr("cast(array() as array<string>)")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 

@@ -290,16 +290,20 @@ def test_license_scan_passages(spark):
             assert best < 0.8 or got.get(d), (d, name)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(20))
     items = [(1, item), (2, "tiny Item"), (3, None), (4, "..."), (5, item), (None, "tiny item")]
     rows = [(1, "x " + item.upper() + " y", None, None), (2, "a tiny, item! " + "z " * 100, None, None), (3, " ".join(f"w{i}" for i in range(12)), None, None), (4, None, None, None), (5, item + " and " + item, None, None), (6, LONG + " tiny item", None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
-    for limit in (decontaminate.BROADCAST_BYTES, -1):
-        decontaminate.is_small.__defaults__ = (limit,)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit, share in ((broadcast, 1000), ("-1", 1000), ("-1", 3)):  # the last makes terms hot
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        monkeypatch.setattr(decontaminate, "HOT_SHARE", share)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(table(spark, rows), bench).collect()}
         assert got == {1: (22, 20, ["1", "5"], True), 2: (103, 2, ["2"], False), 3: (12, 0, [], False), 4: (0, 0, [], False), 5: (41, 40, ["1", "5"], True), 6: (20002, 2, ["2"], False)}
-    decontaminate.is_small.__defaults__ = (decontaminate.BROADCAST_BYTES,)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    twice = decontaminate.contamination(table(spark, rows[:1] * 2 + [(1, "clean", None, None)]), bench).collect()
+    assert sorted((r["doc_id"], r["n_hit"]) for r in twice) == [(1, 0), (1, 20), (1, 20)]
     assert not any(r["contaminated"] for r in decontaminate.contamination(table(spark, rows), bench.where("false")).collect())
     assert decontaminate.contamination(table(spark, []), bench).count() == 0
     near = decontaminate.proximity_matches(table(spark, [(1, "item of a tiny kind", None, None), (2, "tiny " + "q " * 50 + "item", None, None)]), bench.where("item_id = 2"), terms=2, within=10).collect()
