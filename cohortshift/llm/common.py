@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch: with texts of some hundred KB a batch stays under some tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; one row may hold more bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -23,8 +23,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small enough for a Python worker."""
+    """Keeps Arrow batches of whole texts small enough for a Python worker; the session keeps these settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -49,11 +50,32 @@ def _local_dir() -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders of this process that are not deleted yet, oldest first.
+_folders: list[str] = []
+
+
+def clean_up(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch folders made since then; for results that have been written elsewhere."""
+    while len(_folders) > since:
+        _delete(spark, _folders.pop())
+
+
+def scratch_folders() -> int:
+    """How many there are: what clean_up() takes to leave those alone."""
+    return len(_folders)
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; they survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        _folders.append(self.root)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -68,8 +90,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df.scratch_path)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

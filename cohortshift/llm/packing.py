@@ -7,8 +7,8 @@ documents: the driver repeats each pattern as often as the counts allow. Where n
 the slack is filled with the head of one more remainder, whose tail goes back into the histogram. So only the
 last sequence can hold padding.
 
-The plan is a table of rank ranges of each length class. Ranks are counted by (length, salt) and offset, so a
-length that a third of all documents have takes no single task. Token ids are written once and read once.
+The plan is a table of rank ranges of each length class. Ranks are counted by (length, salt) and offset, with a salt
+for each shuffle partition, so a length that a third of all documents have takes no single task. Token ids are written once and read once.
 
 Defined cases: a null or empty text is the end id alone; rows without a doc_id are left out; repeated rows are
 packed once each; an empty table gives an empty result; other columns are not read.
@@ -23,11 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_rank, small_batches
+from .common import Scratch, salted_rank, shuffle_partitions, small_batches
 from .tokens import encoder
 
 CAPACITY = 2048
-SALTS = 64
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -117,20 +116,23 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "uid long, doc_id long, n long, width int, ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, salts: int = SALTS, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, salts: int | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids its ids too."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     tokens = scratch.save(tokenize(docs, tokenizer, end_id), "tokens")
     sizes = tokens.select("uid", (F.col("n") % capacity).alias("rest"), F.expr(f"n div {capacity}").alias("whole"))
     histogram = {r["rest"]: r["count"] for r in sizes.where("rest > 0").groupBy("rest").count().collect()}
     placed, packed = plan(histogram, capacity)
-    ranked = salted_rank(sizes, ["rest"], ["uid"], "rank", salts)
-    # sequences of whole pieces are numbered by running sums within salts
-    ranked = ranked.withColumn("s", F.pmod(F.xxhash64(F.lit(1), F.col("uid")), F.lit(salts)))
-    totals = ranked.groupBy("s").agg(F.sum("whole").alias("t"))
-    totals = totals.select("s", F.coalesce(F.sum("t").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.coalesce(F.sum("whole").over(Window.partitionBy("s").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.withColumn("own", own).join(totals, "s").select("uid", "rank", (F.col("base") + F.col("own") + F.lit(packed)).alias("seq"))
+    salts = salts or shuffle_partitions(spark)
+    ranked = salted_rank(sizes, ["rest"], ["uid"], "rank", salts).select("uid", "rank")
+    # sequences of whole pieces, which only documents of that length have, are numbered by running sums within salts
+    long = sizes.where("whole > 0").withColumn("s", F.pmod(F.xxhash64(F.lit(1), F.col("uid")), F.lit(salts)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = long.groupBy("s").agg(F.sum("whole").alias("t"))  # a row for each salt
+    totals = totals.select("s", F.coalesce(F.sum("t").over(before(Window.orderBy("s"))), F.lit(0)).alias("base"))
+    long = long.withColumn("own", F.coalesce(F.sum("whole").over(before(Window.partitionBy("s").orderBy("uid"))), F.lit(0)))
+    long = long.join(totals, "s").select("uid", (F.col("base") + F.col("own") + F.lit(packed)).alias("seq"))
+    ranked = ranked.join(long, "uid", "left")
     shared = spark.sparkContext.broadcast({r: np.array(rows, np.int64) for r, rows in placed.items()})
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

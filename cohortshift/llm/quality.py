@@ -2,14 +2,16 @@
 
 score = sigmoid(w0 + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions
 in linear time by the sum-of-squares identity. x holds the words of the whole text, hashed to `BUCKETS` and
-weighted by log counts at unit length, and standardised statistics of its characters, words and lines.
+weighted by log counts at unit length, and standardised statistics of its characters, words and lines, and of the
+metadata that may be used: n_chars, the length that the table states.
 
 The model is fitted on at most `TRAIN_ROWS` labelled rows, chosen by a hash of doc_id; only their sparse
 features come to the driver. Every document is scored. Labels, lang, source and doc_id are never inputs.
 
 Defined cases: null and empty texts have no words and are scored from the statistics; labels of null or of
 repeated ids count by their rounded mean; without labels of both kinds the score is their mean, or 1 without
-any; rows without a doc_id are left out; other columns are not read.
+any; n_chars counts as the text's length where it is null, no number or missing; rows without a doc_id are left
+out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BUCKETS, RANK, TRAIN_ROWS, EPOCHS, SEED = 1 << 14, 8, 6000, 8, 7
-STATS = 12
+STATS = 14
 _CLASSES = np.zeros((256, 6))
 for _i, _of in enumerate((range(65, 91), range(97, 123), range(48, 58), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], range(128, 256), [9, 10, 11, 12, 13, 32])):
     _CLASSES[list(_of), _i] = 1
@@ -33,10 +35,12 @@ class Features:
     def __init__(self, limit: int = 500_000):
         self.cache, self.limit = {}, limit
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         import zlib
 
-        raw = (text or "").encode()
+        text = text or ""
+        raw = text.encode()
+        stated = len(text) if n_chars is None or not n_chars >= 0 else min(n_chars, 1e12)
         words = raw.lower().split()
         cache = self.cache
         try:
@@ -52,7 +56,7 @@ class Features:
         upper, lower, digit, punct, high, space = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASSES / n
         lines = raw.split(b"\n")
         distinct = len(set(words)) / max(1, len(words))
-        stats = np.array([np.log1p(len(words)), len(raw) / (1 + len(words)), upper, lower, digit, punct, high, space, distinct, len(set(lines)) / len(lines), np.log1p(n / len(lines)), upper / max(1e-9, upper + lower)])
+        stats = np.array([np.log1p(len(words)), len(raw) / (1 + len(words)), upper, lower, digit, punct, high, space, distinct, len(set(lines)) / len(lines), np.log1p(n / len(lines)), upper / max(1e-9, upper + lower), np.log1p(stated), stated / n])
         return at, weight, np.clip(stats, 0, 50)
 
 
@@ -111,20 +115,25 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def _inputs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_chars): all that may be read of a document."""
+    stated = F.expr("try_cast(cast(n_chars AS string) AS double)") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return docs.where("doc_id is not null").select("doc_id", "text", stated.alias("n_chars"))
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine | float:
     """A machine, or the constant score if the labels are all alike."""
     small_batches(docs.sparkSession)
     truth = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    text = docs.where("doc_id is not null").select("doc_id", "text")
-    sample = text.join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most train_rows rows of two numbers
+    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("label", "text", "n_chars")  # at most train_rows rows of two numbers
 
     def run(batches):
         import pyarrow as pa
 
         features = Features()
         for b in batches:
-            got = [features(t) for t in b.column(1).to_pylist()]
+            got = [features(*t) for t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.record_batch({"label": b.column(0), **{c: pa.array([g[i].astype(t).tobytes() for g in got], pa.binary()) for i, (c, t) in enumerate((("at", "<i4"), ("weight", "<f4"), ("stats", "<f8")))}})
 
     got = sample.mapInArrow(run, "label int, at binary, weight binary, stats binary").toArrow().to_pylist()
@@ -145,13 +154,14 @@ def score_documents(docs: DataFrame, model: Machine | float) -> DataFrame:
 
         m, features = shared.value, Features()
         for b in batches:
-            s = [m if isinstance(m, float) else m.score(*features(t)) for t in b.column(1).to_pylist()]
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            s = [m if isinstance(m, float) else m.score(*features(*r)) for r in rows]
             yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return _inputs(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, shuffle_partitions, small_batches
 from .tokens import encoder
 
-MAGIC, HEADER, BLOCK, FILE_BYTES = b"TKB1", struct.Struct("<4sIIqq"), 4096, 8 << 20
+MAGIC, HEADER, BLOCK, FILE_BYTES = b"TKB1", struct.Struct("<4sIIqq"), 4096, 32 << 20
 
 
 def bit_width(vocabulary: int) -> int:
@@ -113,7 +113,7 @@ def write_token_files(docs: DataFrame, out: str, scratch: Scratch, tokenizer: st
             with store.open_output_stream(own) as f:
                 f.write(data)
             store.move(own, f"{root}/{name}")
-            row = pa.record_batch({"file": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([sum(map(len, pieces))], pa.int64())})
+            row = pa.record_batch({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([sum(map(len, pieces))], pa.int64())})
             doc_ids, pieces, size, k = [], [], 0, k + 1
             return row
 
@@ -127,9 +127,12 @@ def write_token_files(docs: DataFrame, out: str, scratch: Scratch, tokenizer: st
         if pieces:
             yield flush()
 
-    files = scratch.save(d.mapInArrow(write, "file string, n_docs long, n_ids long"), "files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    files = scratch.save(d.mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "files")
+    # sums of the ids before: of whole parts, a row for each shuffle partition, then within a part
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("t")).select("part", before("t", Window.orderBy("part")).alias("base"))
+    own = files.withColumn("own", before("n_ids", Window.partitionBy("part").orderBy("file"))).join(parts, "part")
+    return own.select("file", "n_docs", "n_ids", (F.col("base") + F.col("own")).alias("first"))
 
 
 def read_token_files(spark, out: str, files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortshift.llm import decontaminate, line_dedup, packing, quality, simhash
-from cohortshift.llm.common import Scratch
+from cohortshift.llm.common import Scratch, clean_up, scratch_folders
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
-    for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), "stage")
+    for i, (_, stage) in enumerate(STAGES):
+        own = scratch_folders()
+        out = scratch.save(stage(spark, docs, sf_dir), "stage")
+        # a stage's own tables and its input are not read any more
+        clean_up(spark, own)
+        if i:
+            scratch.drop(docs)
+        docs = out
     return docs
 
 
