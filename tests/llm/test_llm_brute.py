@@ -310,12 +310,11 @@ def test_decontamination(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["at"]) for r in near] == [(1, 2, 3)]
 
 
-def test_suffix_dedup(spark):
+def test_suffix_dedup(spark, monkeypatch):
     base = [bytes(RNG.integers(97, 100, RNG.integers(0, 700)).astype(np.uint8)).decode() for _ in range(20)]
     made = [(50 + i, base[RNG.integers(20)] + base[RNG.integers(20)] + "ab" * int(RNG.integers(200)) * (i % 3), None, None) for i in range(60)]
     rows = [r for r in DOCS if r[0] != 12] + [(12, COPY, None, None), (13, "é" * 300, None, None)] + made
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
-    seen = set()
+    seen, want = set(), {}
     for d, t in sorted(texts(rows)):
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
@@ -325,12 +324,24 @@ def test_suffix_dedup(spark):
             else:
                 seen.add(raw[i : i + 100])
         edge = np.concatenate([[False], gone])
-        assert got[d] == (len(raw), gone.sum(), (edge[1:] & ~edge[:-1]).sum(), np.frombuffer(raw, np.uint8)[~gone].tobytes()), d
+        want[d] = (len(raw), gone.sum(), (edge[1:] & ~edge[:-1]).sum(), np.frombuffer(raw, np.uint8)[~gone].tobytes())
+    for hot in (suffix_dedup.HOT, 1):  # the second deals the windows of every anchor that several runs have
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
+        assert got == want
     twice = {r["n_removed"] for r in suffix_dedup.remove_repeats(table(spark, [DOCS[4]] * 2)).collect()}
     assert len(twice) == 1  # repeated rows of a doc_id fare alike
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Rows that share a doc_id are texts of their own: every string of the corpus stays once, and equal rows fare alike."""
+    a, b, c = ("".join(RNG.choice(list("abcdefgh"), 300)) for _ in range(3))
+    rows = [(1, a, None, 1), (2, a + b, None, 1), (2, c + "other", None, 1), (2, c + "other", None, 1), (3, c, None, 1), (3, b + "end", None, 1)]
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+    assert got == sorted([(1, a), (2, b), (2, c + "other"), (2, c + "other"), (3, ""), (3, "end")])
+
+
 def test_repeated_windows_and_tries():
     text = bytes(RNG.integers(97, 99, 3000).astype(np.uint8)) + b"q" * 400
     places = np.arange(len(text) - 40 + 1)
