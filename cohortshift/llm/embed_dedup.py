@@ -7,10 +7,15 @@ pairs, and pairs that either side visits, are found more often. Codebooks and ca
 `SAMPLE_ROWS` vectors, chosen by a hash of vec_id; all vectors are indexed and all are queries. Candidates are
 verified in double precision, so no pair under the threshold links.
 
-Groups of near copies do not become pairs: within a cell, vectors that link with a leader form a ball (at most
-`BLOCK` vectors of one cell and salt), whose inner links are counted in a block. Balls, not vectors, are
-indexed. Two balls are decided by their leaders' angle and radii where all or none of their pairs link, and
-counted in one block otherwise. The codebooks grow with the square root of the rows, up to `MAX_WORDS`.
+Equal vectors are one vector with a weight, from the start. Groups of near copies do not become pairs: within a
+cell, vectors that link with a leader form a ball (cells of over `BLOCK` vectors are split by salts into blocks of
+about that size), whose inner links are counted in a block. Balls, not vectors, are indexed. Two balls are decided
+by their leaders' angle and radii where all or none of their pairs link, and compared in one block otherwise; what
+a ball's members gain there is summed by ball before it moves. The codebooks grow with the square root of the
+different vectors, up to `MAX_WORDS`.
+
+Results go back to equal vectors by two hashes: groups of over 1/`HOT_SHARE` of the rows, at most HOT_SHARE of them,
+are broadcast, the others joined.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 have 0 links and are their own component; rows without a vec_id are left out; of rows with one vec_id the
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, shuffle_partitions, small_batches
 
-THRESHOLD, RECALL, SAMPLE_ROWS, MAX_WORDS, BLOCK, SALTS, LIST_ROWS, SEED = 0.95, 0.95, 20_000, 4096, 2048, 32, 20_000, 11
+THRESHOLD, RECALL, SAMPLE_ROWS, MAX_WORDS, BLOCK, LIST_ROWS, SEED = 0.95, 0.95, 20_000, 4096, 2048, 20_000, 11
+HOT_SHARE = 1000
 
 
 def units(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,11 +50,17 @@ def units(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _nearest(x: np.ndarray, words: np.ndarray, rows: int = 512) -> np.ndarray:
+    """The nearest word of each row, some rows at a time."""
+    size = (words * words).sum(1)
+    return np.concatenate([np.argmin(size - 2 * x[i : i + rows] @ words.T, 1) for i in range(0, len(x), rows)])
+
+
 def codebook(x: np.ndarray, words: int, rng, rounds: int = 8) -> np.ndarray:
     """Lloyd's k-means; words without vectors stay."""
     c = x[rng.choice(len(x), words, replace=len(x) < words)].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, 1)
+        near = _nearest(x, c)
         order = np.argsort(near, kind="stable")
         used, first = np.unique(near[order], return_index=True)
         c[used] = np.add.reduceat(x[order], first) / np.bincount(near, minlength=words)[used, None]
@@ -82,10 +94,9 @@ class MultiIndex:
         y = self.cells(threshold * x + np.sqrt(1 - threshold**2) * z)
         ranks = []
         for i in range(0, len(x), 64):
-            d1, d2 = self.distances(x[i : i + 64])
-            total = d1[:, :, None] + d2[:, None, :]
-            own = total.reshape(len(total), -1)[np.arange(len(total)), y[i : i + 64]]
-            ranks += (total < own[:, None, None]).sum((1, 2)).tolist()
+            for one, two, own in zip(*self.distances(x[i : i + 64]), y[i : i + 64], strict=True):
+                # cells before the neighbour's in the traversal, without the grid
+                ranks.append(int(np.searchsorted(np.sort(two), one[own // self.words] + two[own % self.words] - one).sum()))
         self.visits = int(min(self.words**2, np.quantile(ranks, recall) + 1))
 
     def halves(self, x):
@@ -95,8 +106,8 @@ class MultiIndex:
         return [(c * c).sum(1) - 2 * h @ c.T for h, c in zip(self.halves(x), self.books, strict=True)]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        d1, d2 = self.distances(x)
-        return d1.argmin(1) * self.words + d2.argmin(1)
+        one, two = (_nearest(h, c) for h, c in zip(self.halves(x), self.books, strict=True))
+        return one * self.words + two
 
     def visited(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first cells of the multi-sequence traversal; the k-th has sorted ranks with (a + 1)(b + 1) <= k."""
@@ -121,7 +132,7 @@ def build_index(vectors: DataFrame, n_rows: int, sample_rows: int = SAMPLE_ROWS,
     return MultiIndex(x, n_rows, threshold) if len(x) and x.shape[1] > 1 else None
 
 
-def form_balls(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def form_balls(x: np.ndarray, weight: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """(members, links within, radius); the first member is the leader, with which all others link."""
     g = x @ x.T
     free, out = np.ones(len(x), bool), []
@@ -130,12 +141,15 @@ def form_balls(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.nda
             free[i] = False
             m = np.concatenate([[i], np.flatnonzero(free & (g[i] >= threshold))])
             free[m] = False
-            out.append((m, (g[np.ix_(m, m)] >= threshold).sum(1) - (g[m, m] >= threshold), float(np.arccos(np.clip(g[i, m[1:]], -1, 1)).max(initial=0))))
+            linked = g[np.ix_(m, m)] >= threshold
+            np.fill_diagonal(linked, True)
+            out.append((m, linked @ weight[m] - 1, float(np.arccos(np.clip(g[i, m[1:]], -1, 1)).max(initial=0))))
     return out
 
 
-def _balls(vectors: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
-    """One row per ball: ball (its leader's vec_id), cell, radius, m, and ids, vecs and inner, its members' arrays."""
+def _balls(vectors: DataFrame, index: MultiIndex, threshold: float, scratch: Scratch) -> DataFrame:
+    """One row per ball: ball (its leader's vec_id), cell, radius, m (its weight), and of its members the arrays
+    ids, weights, vecs and inner."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -144,7 +158,7 @@ def _balls(vectors: DataFrame, index: MultiIndex, threshold: float) -> DataFrame
         for b in batches:
             rows, x = units(b.column(1), shared.value.dim)
             cell = shared.value.cells(x) if len(x) else np.empty(0, int)
-            yield pa.record_batch({"vec_id": b.column(0).take(rows), "cell": pa.array(cell, pa.int64()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+            yield pa.record_batch({"vec_id": b.column(0).take(rows), "w": b.column(2).take(rows), "cell": pa.array(cell, pa.int64()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
     def gather(batches):
         import pyarrow as pa
@@ -152,27 +166,31 @@ def _balls(vectors: DataFrame, index: MultiIndex, threshold: float) -> DataFrame
         held, key = [], None
 
         def close():
-            ids = np.array([h[0] for h in held])
-            x = np.frombuffer(b"".join(h[1] for h in held)).reshape(len(held), -1)
-            found = form_balls(x, threshold)
+            ids, weight = (np.array([h[i] for h in held], "<i8") for i in (0, 1))
+            x = np.frombuffer(b"".join(h[2] for h in held)).reshape(len(held), -1)
+            found = form_balls(x, weight, threshold)
+            of_members = lambda a: pa.array([a[m].tobytes() for m, _, _ in found], pa.binary())
             return pa.record_batch({
-                "ball": pa.array([ids[m[0]] for m, _, _ in found], pa.int64()), "cell": pa.array([key[0]] * len(found), pa.int64()), "radius": [r for _, _, r in found], "m": pa.array([len(m) for m, _, _ in found], pa.int64()),
-                "ids": pa.array([ids[m].astype("<i8").tobytes() for m, _, _ in found], pa.binary()), "vecs": pa.array([x[m].tobytes() for m, _, _ in found], pa.binary()), "inner": pa.array([n.astype("<i8").tobytes() for _, n, _ in found], pa.binary()),
+                "ball": pa.array([ids[m[0]] for m, _, _ in found], pa.int64()), "cell": pa.array([key[0]] * len(found), pa.int64()), "radius": [r for _, _, r in found], "m": pa.array([weight[m].sum() for m, _, _ in found], pa.int64()),
+                "ids": of_members(ids), "weights": of_members(weight), "vecs": of_members(x), "inner": pa.array([n.astype("<i8").tobytes() for _, n, _ in found], pa.binary()),
             })
 
         for b in batches:
-            for vec_id, x, cell, salt in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and ((cell, salt) != key or len(held) == BLOCK):
+            for *row, cell, salt in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and ((cell, salt) != key or len(held) == 2 * BLOCK):
                     yield close()
                     held = []
                 key = (cell, salt)
-                held.append((vec_id, x))
+                held.append(row)
         if held:
             yield close()
 
-    cells = vectors.select("vec_id", "x").mapInArrow(assign, "vec_id long, cell long, x binary").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    cells = cells.select("vec_id", "x", "cell", "salt").repartition(shuffle_partitions(vectors.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt", "vec_id")
-    return cells.mapInArrow(gather, "ball long, cell long, radius double, m long, ids binary, vecs binary, inner binary")
+    cells = scratch.save(vectors.select("vec_id", "x", "w").mapInArrow(assign, "vec_id long, w long, cell long, x binary"), "cells")
+    # few: such a cell has BLOCK vectors at least
+    large = cells.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    cells = cells.join(large, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    cells = cells.select("vec_id", "w", "x", "cell", "salt").repartition(shuffle_partitions(vectors.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt", "vec_id")
+    return cells.mapInArrow(gather, "ball long, cell long, radius double, m long, ids binary, weights binary, vecs binary, inner binary")
 
 
 def _ball_pairs(balls: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
@@ -240,32 +258,67 @@ def _ball_pairs(balls: DataFrame, index: MultiIndex, threshold: float) -> DataFr
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
+class _Sums:
+    """Arrays of counts by ball, summed."""
+
+    def __init__(self):
+        self.by_ball = {}
+
+    def add(self, ball, n):
+        self.by_ball[ball] = self.by_ball[ball] + n if ball in self.by_ball else n
+
+    def columns(self):
+        return list(self.by_ball), [n.astype("<i8").tobytes() for n in self.by_ball.values()]
+
+
 def _compare(pairs: DataFrame, balls: DataFrame, threshold: float) -> DataFrame:
-    """Counts of the unsure pairs: (vec_id, n) for members with links, and (a, b) for balls that link."""
+    """Of the unsure pairs: (ball, more), what its members' links grow by, and (a, b) for balls that link."""
 
     def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = {"vec_id": [], "n": [], "a": [], "b": []}
-            for a, b, ids_a, vecs_a, ids_b, vecs_b in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                p, q = np.frombuffer(ids_a, "<i8"), np.frombuffer(ids_b, "<i8")
+            sums, links = _Sums(), []
+            for a, b, vecs_a, w_a, vecs_b, w_b in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                p, q = np.frombuffer(w_a, "<i8"), np.frombuffer(w_b, "<i8")
                 hit = np.frombuffer(vecs_a).reshape(len(p), -1) @ np.frombuffer(vecs_b).reshape(len(q), -1).T >= threshold
                 if hit.any():
-                    for ids, n in ((p, hit.sum(1)), (q, hit.sum(0))):
-                        some = n > 0
-                        out["vec_id"] += ids[some].tolist()
-                        out["n"] += n[some].tolist()
-                    out["vec_id"].append(None)
-                    out["n"].append(None)
-                    out["a"] += [None] * (len(out["n"]) - len(out["a"]) - 1) + [a]
-                    out["b"] += [None] * (len(out["n"]) - len(out["b"]) - 1) + [b]
-            yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    left = balls.select(F.col("ball").alias("a"), F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"))
-    right = balls.select(F.col("ball").alias("b"), F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"))
-    rows = pairs.where("not sure").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ids_a", "vecs_a", "ids_b", "vecs_b")
-    return rows.mapInArrow(count, "vec_id long, n long, a long, b long")
+                    sums.add(a, hit @ q)
+                    sums.add(b, p @ hit)
+                    links.append((a, b))
+            ball, more = sums.columns()
+            none = [None] * len(ball)
+            left, right = zip(*links, strict=True) if links else ((), ())
+            yield pa.record_batch([pa.array([*ball, *[None] * len(links)], pa.int64()), pa.array([*more, *[None] * len(links)], pa.binary()), pa.array([*none, *left], pa.int64()), pa.array([*none, *right], pa.int64())], ["ball", "more", "a", "b"])
+
+    side = lambda s: balls.select(F.col("ball").alias(s), F.col("vecs").alias(f"vecs_{s}"), F.col("weights").alias(f"weights_{s}"))
+    rows = pairs.where("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "vecs_a", "weights_a", "vecs_b", "weights_b")
+    return rows.mapInArrow(count, "ball long, more binary, a long, b long")
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """(ball, more): one row for each ball."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = _Sums()
+        for b in batches:
+            sums = last
+            for ball, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums.add(ball, np.frombuffer(more, "<i8"))
+            last = _Sums()
+            if sums.by_ball:  # the last ball may go on in the next batch
+                last.add(*sums.by_ball.popitem())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(sums.columns(), (pa.int64(), pa.binary()), strict=True)], ["ball", "more"])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(last.columns(), (pa.int64(), pa.binary()), strict=True)], ["ball", "more"])
+
+    dealt = counts.repartition(shuffle_partitions(counts.sparkSession), "ball").sortWithinPartitions("ball")
+    return dealt.mapInArrow(run, "ball long, more binary")
+
+
+def _unlinked(vectors: DataFrame) -> DataFrame:
+    return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,37 +326,45 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     spark = embeddings.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    vectors = scratch.save(embeddings.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("x")), "vectors")
+    rows = embeddings.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("x"))
+    rows = scratch.save(rows.select("vec_id", "x", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2")), "rows")
+    usable = rows.where("x is not null")
+    same = usable.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "x")).alias("m"), F.count("*").alias("w"))
+    vectors = scratch.save(same.select("m.vec_id", "m.x", "w", "h1", "h2"), "vectors")
     index = build_index(vectors, vectors.count(), threshold=threshold)
     if index is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    balls = scratch.save(_balls(vectors, index, threshold), "balls")
+        return _unlinked(rows)
+    balls = scratch.save(_balls(vectors, index, threshold, scratch), "balls")
     pairs = scratch.save(_ball_pairs(balls, index, threshold), "pairs")
     compared = scratch.save(_compare(pairs, balls, threshold), "compared")
     sure = pairs.where("sure")
-    edges = sure.select("a", "b").unionByName(compared.where("vec_id is null").select("a", "b"))
+    edges = sure.select("a", "b").unionByName(compared.where("ball is null").select("a", "b"))
     roots = scratch.save(components(edges, scratch), "roots").withColumnRenamed("node", "ball")
     sizes = balls.select("ball", "m")
     ways = sure.select(F.col("a").alias("ball"), F.col("b").alias("other")).unionByName(sure.select(F.col("b").alias("ball"), F.col("a").alias("other")))
     outer = ways.join(sizes.withColumnRenamed("ball", "other"), "other").groupBy("ball").agg(F.sum("m").alias("outer"))
+    more = _summed(compared.where("ball is not null").select("ball", "more"))
 
     def members(batches):
         import pyarrow as pa
 
         for b in batches:
             ids, inner = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<i8") for i in (1, 2))
-            m = b.column(3).to_numpy()
-            yield pa.record_batch({"vec_id": pa.array(ids), "inner": pa.array(inner), "ball": b.column(0).take(np.repeat(np.arange(len(m)), m))})
-
-    rows = balls.select("ball", "ids", "inner", "m").mapInArrow(members, "vec_id long, inner long, ball long")
-    rows = rows.join(outer, "ball", "left").join(roots, "ball", "left").withColumn("root", F.coalesce("root", "ball"))
-    rows = scratch.save(rows.select("vec_id", "root", (F.col("inner") + F.coalesce("outer", F.lit(0))).alias("n")), "members")
-    least = rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    more = compared.where("vec_id is not null").groupBy("vec_id").agg(F.sum("n").alias("more"))
-    found = rows.join(least, "root").select("vec_id", "n", "component_id")
-    out = vectors.select("vec_id").join(found, "vec_id", "left").join(more, "vec_id", "left")
-    out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+            counts = np.array([len(v) // 8 for v in b.column(1).to_pylist()], int)
+            gained = np.concatenate([np.frombuffer(v, "<i8") if v else np.zeros(n, np.int64) for v, n in zip(b.column(3).to_pylist(), counts.tolist(), strict=True)] or [np.empty(0, np.int64)])
+            yield pa.record_batch({"vec_id": pa.array(ids), "inner": pa.array(inner + gained), "ball": b.column(0).take(np.repeat(np.arange(len(counts)), counts))})
+
+    found = balls.select("ball", "ids", "inner").join(more, "ball", "left").mapInArrow(members, "vec_id long, inner long, ball long")
+    found = found.join(outer, "ball", "left").join(roots, "ball", "left").withColumn("root", F.coalesce("root", "ball"))
+    found = scratch.save(found.select("vec_id", "root", (F.col("inner") + F.coalesce("outer", F.lit(0))).alias("n")), "members")
+    least = found.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    known = found.join(least, "root").join(vectors.select("vec_id", "w", "h1", "h2"), "vec_id")
+    known = scratch.save(known.select("h1", "h2", "w", F.col("n").alias("n_links"), "component_id"), "known")
+    hot = F.broadcast(known.where(F.col("w") * HOT_SHARE > usable.count()).drop("w"))  # at most HOT_SHARE rows
+    keys = ["h1", "h2"]
+    linked = usable.drop("x").join(hot, keys).unionByName(usable.drop("x").join(hot, keys, "left_anti").join(known.drop("w"), keys))
+    out = linked.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(_unlinked(rows.join(linked.select("vec_id"), "vec_id", "left_anti")))
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -389,3 +389,37 @@ def test_multi_sequence_order():
         assert sorted(own) == sorted(cells.tolist())
 
 
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    """12,000 vectors of 64 dimensions, half of them in pairs just above the threshold, and exact copies."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cos = rng.uniform(0.9505, 0.956, (6000, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * z, x[:1].repeat(3000, 0)]).astype(np.float32)
+    got = embed_dedup.near_duplicates(vectors(spark, [(i, r.tolist()) for i, r in enumerate(v)])).toPandas().set_index("vec_id")
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    found = got["n_links"].loc[range(len(v))].to_numpy()
+    assert (found <= want).all()
+    # copies of vector 0 count each other and its neighbour exactly
+    assert (found[12000:] >= 3000).all() and found[0] >= 3000
+    assert found[1:6000].sum() / want[1:6000].sum() >= 0.95
+    print("recall", found[1:6000].sum() / want[1:6000].sum())
+
+
+def test_calibration_is_small():
+    import tracemalloc
+
+    x = RNG.normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    idx = embed_dedup.MultiIndex(x, 4 * 4096**2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert idx.words == 4096 and peak < 200e6
