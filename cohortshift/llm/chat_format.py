@@ -6,8 +6,9 @@ A conversation whose full hash is the hash of a proper prefix of another goes (a
 conversations the smallest conv_id stays. Only hashes move until the maximal conversations are known.
 
 Defined cases: turns are ordered by turn number (null first), then by hash; identical rows of a turn count
-once; a null role is 'user', a null text is empty; rows without a conv_id are left out; '<|' in a text becomes
-'< |', so that it can't forge a marker; an empty table gives an empty result.
+once, turns of one number with different texts all count; a null role is 'user', a null text is empty; rows without
+a conv_id are left out; '<|' in a text or role becomes '< |', and a line break in a role a space, so that neither
+can forge a turn; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ def maximal(conversations: DataFrame) -> DataFrame:
 
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, rendered): turns in order, each between start and end markers."""
-    part = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("<|im_end|>\n"))
+    plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    role = F.translate(plain("role"), "\r\n", "  ")
+    part = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), plain("text"), F.lit("<|im_end|>\n"))
     key = F.struct(F.col("turn"), F.xxhash64("role", "text").alias("t1"), F.xxhash64(F.lit(1), "role", "text").alias("t2"), part.alias("part"))
     rows = _turns(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_set(key)).alias("parts"))
     return rows.select("conv_id", F.array_join("parts.part", "").alias("rendered"))
@@ -67,6 +70,6 @@ p AS (SELECT DISTINCT list_slice(l, 1, k) AS l
       FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
 m AS (SELECT l, min(conv_id) AS conv_id, count(*)::BIGINT AS n_logged FROM c GROUP BY l)
 SELECT conv_id, len(l)::BIGINT AS n_turns, n_logged,
-       array_to_string(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || replace(x.t, '<|', '< |') || '<|im_end|>' || chr(10)), '') AS rendered
+       array_to_string(list_transform(l, lambda x: '<|im_start|>' || translate(replace(x.r, '<|', '< |'), chr(13) || chr(10), '  ') || chr(10) || replace(x.t, '<|', '< |') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = m.l)
 """
