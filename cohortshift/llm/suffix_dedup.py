@@ -266,7 +266,7 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(scan, "doc_id long, variant long, start long, n long, anchor long, open boolean")
 
 
-def _fetched(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
+def _fetched(docs: DataFrame, opened: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(key, doc_id, variant, start, n, bytes): open runs by anchor, and the windows of hot ones by a hash of their own.
 
     Of a batch's equal windows only the first has its bytes; the others are known to be repeated, and have none.
@@ -304,15 +304,15 @@ def _fetched(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
             types = [pa.int64()] * 5 + [pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 
-    # few: an anchor has HOT open runs at least
+    # few, as such an anchor has HOT open runs at least; saved, so that Spark knows its size
     hot = opened.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    places = opened.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    places = opened.join(scratch.save(hot, "hot"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     places = places.groupBy("doc_id", "variant").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
-    rows = docs.dropDuplicates(["doc_id", "variant"]).join(places, ["doc_id", "variant"]).select("doc_id", "variant", "text", "runs")
+    rows = docs.join(places, ["doc_id", "variant"]).select("doc_id", "variant", "text", "runs")
     return rows.mapInArrow(fetch, "key long, doc_id long, variant long, start long, n long, bytes binary")
 
 
-def _open_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def _open_windows(docs: DataFrame, found: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(doc_id, variant, start, n): windows of open runs that an earlier document or place has."""
 
     def sort(batches):
@@ -338,6 +338,8 @@ def _open_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
             if len(known):
                 yield known.select(names)
             for row in zip(*(c.to_pylist() for c in b.filter(b.column(5).is_valid()).columns), strict=True):
+                if held and row[:4] == held[-1][:4]:
+                    continue  # a repeated row of a text
                 if len(held) >= SORT_ROWS and row[0] != held[-1][0]:
                     yield close(held)
                     held = []
@@ -345,7 +347,7 @@ def _open_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
         if held:
             yield close(held)
 
-    rows = _fetched(docs, found.where("open"), length)
+    rows = _fetched(docs, found.where("open"), length, scratch)
     dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id", "variant", "start")
     return dealt.mapInArrow(sort, "doc_id long, variant long, start long, n long")
 
@@ -354,7 +356,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, variant, spans): (start, n) of windows, n from start, that start earlier too; n = -1 is the whole text."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(_sort_runs(_run_rows(docs, length, gram)), "runs")
-    opened = scratch.save(_open_windows(docs, found, length), "open")
+    opened = scratch.save(_open_windows(docs, found, length, scratch), "open")
     rows = found.where("not open").select("doc_id", "variant", "start", "n").unionByName(opened)
     return rows.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
