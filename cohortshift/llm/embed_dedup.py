@@ -186,8 +186,9 @@ def _balls(vectors: DataFrame, index: MultiIndex, threshold: float, scratch: Scr
             yield close()
 
     cells = scratch.save(vectors.select("vec_id", "x", "w").mapInArrow(assign, "vec_id long, w long, cell long, x binary"), "cells")
-    # few: such a cell has BLOCK vectors at least
+    # few, as such a cell has BLOCK vectors at least; saved, so that Spark knows its size
     large = cells.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    large = scratch.save(large, "large")
     cells = cells.join(large, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
     cells = cells.select("vec_id", "w", "x", "cell", "salt").repartition(shuffle_partitions(vectors.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt", "vec_id")
     return cells.mapInArrow(gather, "ball long, cell long, radius double, m long, ids binary, weights binary, vecs binary, inner binary")
