@@ -2,8 +2,9 @@
 
 Normalised words are runs of letters and digits of the lower-cased text. Dice = 2|A and B| / (|A| + |B|).
 For Dice >= t the smaller bigram set has at least t / (2 - t) of the larger's size, so a template is
-compared only with units whose size lies within these bounds; most lines meet no template at all. The
-templates are a fixed table of literals: no join, no shuffle.
+compared only with units whose size lies within these bounds. A unit must also hold that many of a template's
+bigrams, so it holds one of a few stems of the templates' words; most texts and lines hold none and are not split
+into words. The templates are a fixed table of literals: no join, no shuffle.
 
 Notices that wrap over lines or stand in a longer line are found as passages: runs of consecutive words of the
 whole text with at most (2 - t) / t of a template's word pairs. A run reaches t only if it has t / (2 - t) of the
@@ -179,16 +180,25 @@ def _bigrams(words: str) -> Column:
     return F.expr(f"array_distinct(transform(if(size({words}) > 1, sequence(1, size({words}) - 1), cast(array() as array<int>)), i -> concat(get({words}, i - 1), ' ', get({words}, i))))")
 
 
-def needed_words(grams: list[str], least: int) -> set[str]:
-    """Words, longest first, one of which is in any set of `least` of the bigrams."""
-    words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w))
-    out, rest = set(), list(grams)
-    for w in words:
-        if len(rest) < least:
-            break
-        out.add(w)
-        rest = [g for g in rest if w not in g.split(" ")]
-    return out
+def needed_stems(known: dict[str, list[str]], least: dict[str, int], size: int = 7) -> list[str]:
+    """Few stems, one of which is in any text with `least` of a template's bigrams: greedily, those in most bigrams.
+
+    A stem is the first `size` letters of a word; shorter words are stems only where those do not suffice.
+    """
+    rest, out = {k: list(v) for k, v in known.items()}, []
+    while open_ := {k: v for k, v in rest.items() if len(v) >= least[k]}:
+        stems = {w[:size] for v in open_.values() for g in v for w in g.split(" ")}
+        stems = {x for x in stems if len(x) == size} or stems
+        gain = lambda x: sum(x in w for v in open_.values() for g in v for w in g.split(" "))
+        out.append(max(sorted(stems), key=gain))
+        rest = {k: [g for g in v if not any(out[-1] in w for w in g.split(" "))] for k, v in rest.items()}
+    return sorted(out)
+
+
+def _holding(df: DataFrame, text: str, stems: list[str]) -> DataFrame:
+    """Rows whose text holds a stem. explode() of one array keeps the optimiser from lower-casing it for each."""
+    low = df.select("*", F.explode(F.array(F.lower(text))).alias("__l"))
+    return low.where(" or ".join(f"contains(__l, '{x}')" for x in stems)).drop("__l")
 
 
 def _array(values) -> str:
@@ -220,11 +230,9 @@ def _runs(name: str, grams: list[str], pairs: int, threshold: float) -> str:
 def passages(docs: DataFrame, known: dict[str, list[str]], pairs: dict[str, int], threshold: float) -> DataFrame:
     """(doc_id, line_no, license, dice) of runs of words that neither a line's nor the whole text's row shows."""
     bounds = {k: size_bounds(len(v), threshold) for k, v in known.items()}
-    words = sorted({w for k, v in known.items() for w in needed_words(v, bounds[k][0])})
-    some = docs.withColumn("__l", F.lower("text")).where(" or ".join(f"contains(__l, '{w}')" for w in words))
     row = lambda name, e: F.explode(F.array(F.expr(e))).alias(name)
     unit = r"filter(split(lower(u), '[^\\p{L}\\p{N}]+', -1), w -> w <> '')"
-    d = some.select("doc_id", row("__w", f"flatten(transform(split(text, '\\n', -1), (u, i) -> transform({unit}, w -> struct(w as w, i as line))))")).where("size(__w) > 1")
+    d = docs.select("doc_id", row("__w", f"flatten(transform(split(text, '\\n', -1), (u, i) -> transform({unit}, w -> struct(w as w, i as line))))")).where("size(__w) > 1")
     d = d.select("doc_id", row("__g", "transform(sequence(0, size(__w) - 2), i -> named_struct('i', i, 'b', concat(get(__w, i).w, ' ', get(__w, i + 1).w), 'line', get(__w, i).line, 'last', get(__w, i + 1).line))"))
     every = ", ".join(f"'{g}'" for g in sorted({g for v in known.values() for g in v}))
     d = d.select("doc_id", "__g", row("__h", f"filter(__g, x -> x.b in ({every}))")).where(F.size("__h") >= min(lo for lo, _ in bounds.values()))
@@ -243,8 +251,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str
     known = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     bounds = {k: size_bounds(len(v), threshold) for k, v in known.items()}
     least = min(lo for lo, _ in bounds.values())
-    d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "unit"))
+    # a text that reaches the threshold holds at least the lower bound of a template's bigrams
+    stems = needed_stems(known, {k: lo for k, (lo, _) in bounds.items()})
+    d = _holding(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), "text", stems)
+    lines = _holding(d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "unit")), "unit", stems)
     whole = d.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(-1).alias("line_no"), F.col("text").alias("unit"))
     # explode() of one array keeps the optimiser from copying the words into each of the conditions below
     units = lines.unionByName(whole).select("doc_id", "line_no", F.explode(F.array(_words("unit"))).alias("__w")).where(F.size("__w") > least)

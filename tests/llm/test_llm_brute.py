@@ -460,3 +460,11 @@ def test_chunk_encoder_on_random_unicode(name):
     got = fast.encode_many(made)
     bad = [t for t, g, w in zip(made, got, plain.encode_batch(made, add_special_tokens=False), strict=True) if g.tolist() != w.ids]
     assert not bad, bad[:5]
+
+
+def test_needed_stems_miss_no_passage():
+    known = {k: license_scan.template_bigrams(v) for k, v in license_scan.TEMPLATES.items()}
+    least = {k: license_scan.size_bounds(len(v), 0.8)[0] for k, v in known.items()}
+    stems = license_scan.needed_stems(known, least)
+    for k, v in known.items():  # what no stem is in is too little for a passage
+        assert sum(not any(x in w for x in stems for w in g.split(" ")) for g in v) < least[k]
