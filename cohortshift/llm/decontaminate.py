@@ -89,8 +89,11 @@ def phrase_matches(corpus: DataFrame, windows: DataFrame, frequencies: DataFrame
     second = index.select("uid", F.col("term").alias("term2"), (F.col("pos")).alias("at2"))
     both = first.withColumn("at2", F.expr("start + off2")).join(second, ["uid", "term2", "at2"], "left_semi")
     found = both.groupBy("uid").agg(F.collect_list(F.struct("start", "len", "window", "items")).alias("found"))
+    # words hold no space: a string takes less than half of an array's place in the shuffle
+    texts = corpus.select("uid", F.array_join("words", " ").alias("text")).join(found, "uid")
+    texts = texts.select("uid", "found", F.explode(F.array(F.split("text", " ", -1))).alias("words"))
     exact = F.expr("filter(found, c -> slice(words, c.start + 1, c.len) = c.window)")
-    return corpus.select("uid", "words").join(found, "uid").select("uid", F.explode(exact).alias("c")).select("uid", "c.start", "c.len", "c.items")
+    return texts.select("uid", F.explode(exact).alias("c")).select("uid", "c.start", "c.len", "c.items")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, within: int = 30, size: int = WINDOW) -> DataFrame:
