@@ -23,8 +23,23 @@ def bernoulli(df: DataFrame, key: Column, rate: float, seed: int = CONFIG.seed)
     return df.where(hash_uniform(key, seed) < rate)
 
 
-def running_index(df: DataFrame, by: list[str], order: list[str], name: str = "g") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
+def running_index(df: DataFrame, by: list[str], order: list[str], name: str = "g", buckets: int | None = None) -> DataFrame:
+    """Numbers a class's rows from 0 in the given order, without a task that holds a class.
+
+    Rows are dealt into ranges of the first order column, one for each shuffle partition; they are numbered within
+    (class, range), and the counts of the ranges before, a row for each, are added. Nulls are the first range.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)] or [0.5], F.lit(1000)).alias("c")).first()["c"]
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: c < F.col(order[0])))
+    df = df.withColumn("__at", F.when(F.col(order[0]).isNull(), -1).otherwise(at))
+    local = df.withColumn(name, F.row_number().over(Window.partitionBy(*by, "__at").orderBy(*order)).cast("long") - 1)
+    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*by, "__at").agg(F.count("*").alias("__n"))
+    offsets = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__at").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__0"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__at") == F.col("__of")]
+    out = local.join(offsets, same).withColumn(name, F.col(name) + F.col("__0"))
+    return out.drop("__at", "__of", "__0", *(f"__{c}" for c in by))
 
 
 def systematic_split(df: DataFrame, code: str, order: list[str], seed: int = CONFIG.seed) -> DataFrame:
@@ -35,11 +50,11 @@ def systematic_split(df: DataFrame, code: str, order: list[str], seed: int = CON
 
 
 def stride_cap(df: DataFrame, by: str, order: list[str], cap: int) -> DataFrame:
-    """Every n div cap-th row of a class, up to cap."""
-    df = running_index(df, [by], order).withColumn("__n", F.count("*").over(Window.partitionBy(by)))
+    """Every n div cap-th row of a class, up to cap: the rows numbered 0, step, ... below cap steps."""
+    sizes = df.groupBy(by).agg(F.count("*").alias("__n")).select(F.col(by).alias("__by"), "__n")
+    df = running_index(df, [by], order).join(sizes, F.col(by).eqNullSafe(F.col("__by")))
     step = F.greatest(F.lit(1), F.expr(f"__n div {cap}"))
-    df = df.where(F.col("g") % step == 0)
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("g"))).where(F.col("__r") <= cap).drop("__n", "__r", "g")
+    return df.where((F.col("g") % step == 0) & (F.col("g") < step * cap)).drop("__by", "__n", "g")
 
 
 def random_cap(df: DataFrame, by: list[str], key: Column, cap: int, seed: int = CONFIG.seed, few_groups: bool = False) -> DataFrame:

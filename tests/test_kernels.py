@@ -104,3 +104,14 @@ def test_benjamini_hochberg(spark):
 def test_kendall():
     assert stats.kendall(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4])) == pytest.approx(4 / 6)
     assert CONFIG.seed == 42
+
+
+def test_running_index_is_the_row_number(spark):
+    """Whatever the ranges: ties of the first column, nulls, and a class that holds most rows."""
+    rows = [(int(k) if k else None, i, "x" if i % 9 else None) for i, k in enumerate(RNG.integers(0, 6, 300))]
+    df = spark.createDataFrame(rows, "k long, i long, c string").repartition(5)
+    for buckets in (1, 3, 50):
+        got = {r["i"]: r["g"] for r in split.running_index(df, ["c"], ["k", "i"], buckets=buckets).collect()}
+        for c in ("x", None):
+            own = sorted((r for r in rows if r[2] == c), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            assert [got[r[1]] for r in own] == list(range(len(own)))
