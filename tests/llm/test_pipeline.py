@@ -1,6 +1,12 @@
 """The pipeline against its operators applied in memory."""
 
+import re
+import zlib
+
 import corpus_pipeline as P
+import numpy as np
+import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from cohortshift.llm import decontaminate, line_dedup, packing, quality, simhash
@@ -38,3 +44,66 @@ def test_extra_columns_and_nulls(spark):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs.unionByName(odd), SF).columns == docs.columns
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def lower(t):
+    return t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def brute_force(spark, sf):
+    """doc_id and text of what reaches packing, in plain Python; of the operators only the trained weights."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
+    texts = {}
+    for d, (t, n) in rows.items():
+        i, x = model.join(*quality.Features()(t, n))
+        pairs = ((model.v[i] @ model.v[i].T) * np.outer(x, x))[np.triu_indices(len(i), 1)].sum()
+        if model.w0 + model.w[i] @ x + pairs >= 0:
+            texts[d] = t or ""
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for d in sorted(texts):
+        for line in texts[d].split("\n"):
+            first.setdefault(key(line), d)
+    texts = {d: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == d) for d, t in texts.items()}
+    prints = {}
+    for d, t in texts.items():
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lower(t)) if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    groups = []
+    for d in sorted(prints):
+        near = [g for g in groups if any((prints[d] ^ prints[o]).bit_count() <= 3 for o in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, []) + [d]]
+    texts = {min(g): texts[min(g)] for g in groups}
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if w]
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    clean = {}
+    for d, t in texts.items():
+        w = words(t)
+        hit = {p for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
+        if not hit or 20 * len(hit) < len(w):
+            clean[d] = t
+    return clean
+
+
+def test_run_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    want, tokenizer = brute_force(spark, sf), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = P.run(spark, sf).toPandas()
+    assert set(got["doc_id"]) == set(want) and 0 < len(want) < 200
+    for d, rows in got.groupby("doc_id"):
+        ids = np.array([*tokenizer.encode(want[d], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in rows.sort_values("start").itertuples():
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and r.doc_tokens == len(ids)
+            at += r.length
+        assert at == len(ids)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]]
