@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 BUCKETS = 16
 
 
@@ -34,13 +36,16 @@ def running_totals(df: DataFrame, keys: list[str], sums: dict[str, str], order:
 
 
 def value_counts(df: DataFrame, keys: list[str], counts: dict, value: str = "value") -> DataFrame:
-    """One row per key and value, with conditional counts; pre-aggregated, so frequent values cost one row."""
-    return df.groupBy(*keys, value).agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    """One row per key and value, with conditional counts; pre-aggregated, so frequent values cost one row.
+
+    The counts are saved: running totals read them three times, and the rows are read once.
+    """
+    return saved(df.groupBy(*keys, value).agg(*(F.count_if(c).alias(n) for n, c in counts.items())))
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, value, name): the average rank of each distinct value within its key."""
-    n = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    n = value_counts(df, keys, {"__n": F.lit(True)}, value)
     r = running_totals(n, keys, {"__c": "__n"}, [value], value) if keys else _global(n, value)
     return r.withColumn(name, F.col("__c") - (F.col("__n") - 1) / 2).select(*keys, value, name)
 
@@ -56,19 +61,27 @@ def _global(n: DataFrame, value: str) -> DataFrame:
 
 def auc(df: DataFrame, keys: list[str], label: str = "y", value: str = "value") -> DataFrame:
     """Mann-Whitney AUC of value for label 1, from counts of distinct values; null without both labels."""
-    c = value_counts(df, keys, {"n1": F.col(label) == 1, "n0": F.col(label) == 0}, value)
-    r = running_totals(c, keys, {"c0": "n0"}, [value], value)
+    return count_auc(value_counts(df, keys, {"n1": F.col(label) == 1, "n0": F.col(label) == 0}, value), keys, value)
+
+
+def count_auc(counts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """The same from a table of (keys, value, n1, n0)."""
+    r = running_totals(counts, keys, {"c0": "n0"}, [value], value)
     won = F.sum(F.col("n1") * (F.col("c0") - F.col("n0") / 2.0))
     return r.groupBy(*keys).agg(won.alias("__w"), F.sum("n1").alias("__n1"), F.sum("n0").alias("__n0")).select(*keys, F.try_divide(F.col("__w"), F.col("__n1").cast("double") * F.col("__n0")).alias("auc"))
 
 
 def quantiles(df: DataFrame, keys: list[str], ks: list[int], base: int, value: str = "value") -> DataFrame:
-    """(keys, k, q): exact k/base quantiles with linear interpolation, from running counts of distinct values.
+    """(keys, k, q): exact k/base quantiles with linear interpolation, from running counts of distinct values."""
+    return count_quantiles(value_counts(df, keys, {"__n": F.lit(True)}, value), keys, ks, base, value)
+
+
+def count_quantiles(counts: DataFrame, keys: list[str], ks: list[int], base: int, value: str = "value") -> DataFrame:
+    """The same from a table of (keys, value, __n).
 
     No task holds a key's values: the row of a value whose ranks cover a wanted position gives it away.
     """
-    c = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    r = running_totals(c, keys, {"__c": "__n"}, [value], value)
+    r = running_totals(counts, keys, {"__c": "__n"}, [value], value)
     last = F.col("__c_all") - 1
     # of the positions (n - 1) k / base, the integer part and the one after it
     wanted = F.array(*map(F.lit, ks))
@@ -82,10 +95,10 @@ def quantiles(df: DataFrame, keys: list[str], ks: list[int], base: int, value: s
         hi = F.least(F.lit(ks[-1]), F.floor(F.try_divide((F.col("__c") - shift) * float(base) - 1, last)))
         return F.when(last == 0, wanted if shift == 0 else F.expr("cast(array() as array<int>)")).when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
 
-    found = None
-    for shift, name in ((0, "lo"), (1, "hi")):
-        part = r.select(*keys, last.alias("last"), F.explode(places(shift)).alias("k"), F.col(value).alias("v"), F.lit(name).alias("end"))
-        found = part if found is None else found.unionByName(part)
+    def ends(shift, name):
+        return F.transform(places(shift), lambda k: F.struct(k.alias("k"), F.lit(name).alias("end")))
+
+    found = r.select(*keys, last.alias("last"), F.explode(F.concat(ends(0, "lo"), ends(1, "hi"))).alias("p"), F.col(value).alias("v")).select(*keys, "last", "p.k", "p.end", "v")
     g = found.groupBy(*keys, "k").agg(F.max("last").alias("last"), F.max(F.when(F.col("end") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("end") == "hi", F.col("v"))).alias("hi"))
     share = (F.col("k") * F.col("last") % base) / float(base)
     return g.select(*keys, "k", (F.col("lo") + share * (F.coalesce("hi", "lo") - F.col("lo"))).alias("q"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.ranks import value_ranks
+from ..sources.files import saved
 
 MANY = 200
+#: Ranks of at most so many distinct values, of 24 bytes each, are broadcast.
+LEVELS = 200_000
 
 
 def pearson(df: DataFrame, features: list[str]) -> DataFrame:
@@ -27,11 +30,27 @@ def pearson(df: DataFrame, features: list[str]) -> DataFrame:
     return out
 
 
-def spearman(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson on average ranks; every rank table is made from the rows as they came, so the plan stays linear."""
-    out = df
+def spearman(df: DataFrame, features: list[str], levels: int = LEVELS) -> DataFrame:
+    """Pearson on average ranks, of rows that have a value of every feature.
+
+    The ranks of all features' distinct values come from one pass and are saved. Features of at most `levels` distinct
+    values meet them by broadcast. All others go through one long table: a shuffle to the ranks and one back to the rows,
+    whatever their number; frequent values of that join are left to AQE.
+    """
+    out = df.select("cohort", *features)
+    cells = lambda t, ids, some: t.unpivot(ids, some, "feature", "value").where("value is not null")
+    ranks = saved(value_ranks(cells(out, ["cohort"], features), ["cohort", "feature"], "value", "rank"))
+    n = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
+    many = [f for f in features if n.get(f, 0) > levels]
+    if many:
+        out = saved(out.withColumn("__id", F.monotonically_increasing_id()))
+        found = cells(out, ["__id", "cohort"], many).join(ranks, ["cohort", "feature", "value"])
+        back = found.groupBy("__id").agg(*(F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f"__r_{f}") for f in many))
+        out = out.drop(*many).join(back.dropna(), "__id")
     for f in features:
-        out = out.join(value_ranks(df, ["cohort"], f, f"__r_{f}"), ["cohort", f])
+        if f not in many:
+            one = ranks.where(F.col("feature") == f).select("cohort", F.col("value").alias(f), F.col("rank").alias(f"__r_{f}"))
+            out = out.join(F.broadcast(one), ["cohort", f])
     return pearson(out.select("cohort", *(F.col(f"__r_{f}").alias(f) for f in features)), features)
 
 

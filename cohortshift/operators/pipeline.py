@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
 from . import drift as D
 from . import kernels as N
 from . import profile as P
@@ -15,11 +16,13 @@ def verdicts(long: DataFrame) -> DataFrame:
 
     All joins after the profiles are between tables of a row for each feature and cohort.
     """
-    stats = P.basic(long)
-    types = P.select_scale(long, P.detect_type(stats, P.minimum_mass(long, stats)))
+    levels = P.counts(long)
+    stats = saved(P.basic(long, levels))
+    types = P.select_scale(levels, P.detect_type(stats, P.minimum_mass(levels, stats)))
     prof = types.select(*P.KEYS, "detected_type", "scale", "zero_inflated").join(N.modes(long, P.KEYS).select(*P.KEYS, "n_modes"), P.KEYS, "left")
-    prof = prof.join(P.separation(long), P.KEYS).join(N.mutual_information(long, P.KEYS), P.KEYS).join(N.separation_nulls(long), P.KEYS)
-    prof = prof.withColumn("separated", D.separated(F.col("magnitude"), F.col("mi_normalized"), F.col("auc_null"), F.col("mi_null"))).withColumn("n_modes", F.coalesce("n_modes", F.lit(1)))
+    prof = prof.join(P.separation(long, levels=levels), P.KEYS).join(N.mutual_information(long, P.KEYS), P.KEYS).join(N.separation_nulls(long), P.KEYS)
+    # both cohorts' sides read the profile
+    prof = saved(prof).withColumn("separated", D.separated(F.col("magnitude"), F.col("mi_normalized"), F.col("auc_null"), F.col("mi_null"))).withColumn("n_modes", F.coalesce("n_modes", F.lit(1)))
     names = {"detected_type": "type", "scale": "scale", "n_modes": "modes", "zero_inflated": "zero", "magnitude": "sep", "mi_normalized": "mi", "direction": "dir", "separated": "is"}
     side = lambda c: prof.where(F.col("cohort") == c).select("feature", *(F.col(k).alias(f"{v}_{c.lower()}") for k, v in names.items()))
     both = side("A").join(side("B"), "feature").withColumn("zero_inflated", F.col("zero_a") | F.col("zero_b"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, IDENTIFIERS_DRIFT, NONNEGATIVE_HINTS, SENTINEL_FEATURES
-from ..functions.ranks import auc, quantiles
+from ..functions.ranks import auc, count_auc, count_quantiles, quantiles, value_counts
+from ..sources.files import saved
 
 KEYS = ["cohort", "feature"]
 GRID = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -21,27 +22,32 @@ def _wide(q: DataFrame, names: dict[int, str]) -> DataFrame:
     return q.groupBy(*KEYS).agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in names.items()))
 
 
-def basic(long: DataFrame) -> DataFrame:
-    """Mergeable moments in one pass; quartiles and levels from counts of distinct values."""
-    rows = finite_rows(long)
-    out = rows.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") == 0).alias("n_zero"), F.min("value").alias("min"), F.max("value").alias("max"),
+def counts(long: DataFrame) -> DataFrame:
+    """(cohort, feature, value, __n, n1, n0): finite values, how often they occur, and with which label; saved."""
+    return value_counts(finite_rows(long), KEYS, {"__n": F.lit(True), "n1": F.col("y") == 1, "n0": F.col("y") == 0})
+
+
+def basic(long: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Mergeable moments in one pass; quartiles and levels from counts(), given or made here."""
+    levels = counts(long) if levels is None else levels
+    v = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    out = long.select(*KEYS, v.alias("value")).groupBy(*KEYS).agg(
+        F.count("value").alias("n"), F.count_if(F.col("value") == 0).alias("n_zero"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
-        F.count_if(F.col("value") != F.round("value")).alias("n_fraction"),
-    )
-    levels = rows.groupBy(*KEYS, "value").count().groupBy(*KEYS).agg(F.count("*").alias("n_unique"))
-    quartiles = _wide(quantiles(rows, KEYS, [1, 2, 3], 4), {1: "p25", 2: "median", 3: "p75"})
-    total = long.groupBy(*KEYS).agg(F.count("*").alias("n_total"))
-    out = out.join(levels, KEYS).join(quartiles, KEYS).join(total, KEYS).withColumn("n_missing", F.col("n_total") - F.col("n"))
+        F.count_if(F.col("value") != F.round("value")).alias("n_fraction"), F.count("*").alias("n_total"),
+    ).where("n > 0")
+    unique = levels.groupBy(*KEYS).agg(F.count("*").alias("n_unique"))
+    quartiles = _wide(count_quantiles(levels, KEYS, [1, 2, 3], 4), {1: "p25", 2: "median", 3: "p75"})
+    out = out.join(unique, KEYS).join(quartiles, KEYS).withColumn("n_missing", F.col("n_total") - F.col("n"))
     return out.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "zero_fraction": F.col("n_zero") / F.col("n_total"), "cv": F.coalesce(F.try_divide("std", F.abs("mean")), F.lit(0.0))})
 
 
-def mad(long: DataFrame) -> DataFrame:
-    """Median absolute deviation: a second pass against the medians, one row per feature."""
-    # the median alone, so that the other aggregates of stats are not computed again
-    median = _wide(quantiles(finite_rows(long), KEYS, [1], 2), {1: "median"})
-    away = finite_rows(long).join(median, KEYS).select(*KEYS, F.abs(F.col("value") - F.col("median")).alias("value"))
-    return _wide(quantiles(away, KEYS, [1], 2), {1: "mad"})
+def mad(long: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Median absolute deviation, from the counts of distinct values and of their distances to the median."""
+    levels = counts(long) if levels is None else levels
+    median = _wide(count_quantiles(levels, KEYS, [1], 2), {1: "median"})
+    away = levels.join(median, KEYS).groupBy(*KEYS, F.abs(F.col("value") - F.col("median")).alias("value")).agg(F.sum("__n").alias("__n"))
+    return _wide(count_quantiles(saved(away), KEYS, [1], 2), {1: "mad"})
 
 
 def percentiles(long: DataFrame, grid: list[int] = GRID) -> DataFrame:
@@ -75,8 +81,10 @@ def view_range(long: DataFrame, lo: float = CONFIG.view_low, hi: float = CONFIG.
     return rows.join(q, KEYS).groupBy(*KEYS, "view_low", "view_high").agg(F.count_if(F.col("value") < F.col("view_low")).alias("n_clipped_low"), F.count_if(F.col("value") > F.col("view_high")).alias("n_clipped_high"))
 
 
-def minimum_mass(long: DataFrame, stats: DataFrame) -> DataFrame:
-    return finite_rows(long).join(stats.select(*KEYS, "min"), KEYS).groupBy(*KEYS).agg(F.count_if(F.col("value") == F.col("min")).alias("n_min"))
+def minimum_mass(levels: DataFrame, stats: DataFrame) -> DataFrame:
+    """(cohort, feature, n_min): how often the minimum occurs, from counts()."""
+    least = F.col("value") == F.col("min")
+    return levels.join(stats.select(*KEYS, "min"), KEYS).groupBy(*KEYS).agg(F.sum(F.when(least, F.col("__n")).otherwise(0)).alias("n_min"))
 
 
 def detect_type(stats: DataFrame, masses: DataFrame) -> DataFrame:
@@ -95,11 +103,13 @@ def detect_type(stats: DataFrame, masses: DataFrame) -> DataFrame:
     })
 
 
-def select_scale(long: DataFrame, types: DataFrame) -> DataFrame:
-    """recommended_scale, and the threshold of a symlog scale: the 10 % quantile of non-zero magnitudes."""
+def select_scale(levels: DataFrame, types: DataFrame) -> DataFrame:
+    """recommended_scale, from counts(), and the threshold of a symlog scale: the 10 % quantile of non-zero magnitudes."""
     v = F.col("value")
-    s = finite_rows(long).groupBy(*KEYS).agg(F.min(F.when(v > 0, v)).alias("least"), F.max(F.when(v > 0, v)).alias("most"), F.count_if(v <= 0).alias("n_low"))
-    low = quantiles(finite_rows(long).where("value <> 0").select(*KEYS, F.abs("value").alias("value")), KEYS, [1], 10)
+    low_n = F.sum(F.when(v <= 0, F.col("__n")).otherwise(0))
+    s = levels.groupBy(*KEYS).agg(F.min(F.when(v > 0, v)).alias("least"), F.max(F.when(v > 0, v)).alias("most"), low_n.alias("n_low"))
+    sizes = saved(levels.where("value <> 0").groupBy(*KEYS, F.abs("value").alias("value")).agg(F.sum("__n").alias("__n")))
+    low = count_quantiles(sizes, KEYS, [1], 10)
     s = s.join(_wide(low, {1: "thr"}), KEYS, "left")
     scale = (
         F.when(F.col("detected_type") != "continuous", "categorical").when(F.col("zero_inflated") | (F.col("n_low") > 0), "symlog")
@@ -113,9 +123,10 @@ def direction(a: Column) -> Column:
     return F.when(F.abs(a - 0.5) >= CONFIG.auc_deadband, F.signum(a - 0.5)).otherwise(0.0)
 
 
-def separation(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def separation(long: DataFrame, keys: list[str] = KEYS, levels: DataFrame | None = None) -> DataFrame:
     """Raw and folded AUC of each feature for the label, and its direction with a deadband."""
-    a = auc(finite_rows(long), keys).withColumn("auc", F.coalesce("auc", F.lit(0.5)))
+    a = auc(finite_rows(long), keys) if levels is None else count_auc(levels, keys)
+    a = a.withColumn("auc", F.coalesce("auc", F.lit(0.5)))
     return a.select(*keys, F.col("auc").alias("auc_raw"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("magnitude"), direction(F.col("auc")).alias("direction"))
 
 

@@ -21,8 +21,8 @@ def _round(df, *names, at=6):
 @query("PRO-01", f"WITH {L} SELECT {K}, count(*) AS n, count(*) FILTER (WHERE value = 0) AS n_zero, min(value) AS min, max(value) AS max, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.5), 6) + 0.0 AS median, round(stddev_pop(value), 6) AS std, round(max(value) - min(value), 6) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(mad(value), 6) AS mad FROM long GROUP BY 1, 2")
 def pro_01(spark, d):
     long = long_view(spark, d)
-    s = P.basic(long)
-    out = s.join(P.mad(long), P.KEYS)
+    levels = P.counts(long)
+    out = P.basic(long, levels).join(P.mad(long, levels), P.KEYS)
     return _round(out, "mean", "median", "std", "range", "iqr", "mad").select(*P.KEYS, "n", "n_zero", "min", "max", "mean", "median", "std", "range", "iqr", "mad")
 
 
@@ -74,8 +74,9 @@ MASS = f"{L}, b AS (SELECT {K}, min(value) AS lo, count(*) AS t, count(DISTINCT
 @query("PRO-09", f"WITH {MASS} SELECT {K}, n_min, n_min > t * 0.01 AS is_frequent FROM m")
 def pro_09(spark, d):
     long = long_view(spark, d)
-    s = P.basic(long)
-    m = P.minimum_mass(long, s).join(s, P.KEYS)
+    levels = P.counts(long)
+    s = P.basic(long, levels)
+    m = P.minimum_mass(levels, s).join(s, P.KEYS)
     return m.select(*P.KEYS, "n_min", (F.col("n_min") > F.col("n_total") * CONFIG.sentinel_mass).alias("is_frequent"))
 
 
@@ -121,16 +122,18 @@ TYPES = f"{MASS}, ty AS (SELECT cohort, feature, CASE WHEN u <= 2 THEN 'binary'
 @query("REL-16", f"WITH {TYPES} SELECT cohort, feature, detected_type, zero_inflated, has_sentinel, degenerate FROM ty")
 def rel_16(spark, d):
     long = long_view(spark, d)
-    s = P.basic(long)
-    return P.detect_type(s, P.minimum_mass(long, s)).select(*P.KEYS, "detected_type", "zero_inflated", "has_sentinel", "degenerate")
+    levels = P.counts(long)
+    s = P.basic(long, levels)
+    return P.detect_type(s, P.minimum_mass(levels, s)).select(*P.KEYS, "detected_type", "zero_inflated", "has_sentinel", "degenerate")
 
 
 @query("REL-17", f"WITH {TYPES}, v AS (SELECT cohort, feature, min(value) FILTER (WHERE value > 0) AS a, max(value) FILTER (WHERE value > 0) AS b, count(*) FILTER (WHERE value <= 0) AS n_low, quantile_cont(abs(value), 0.1) FILTER (WHERE value <> 0) AS thr FROM long GROUP BY 1, 2), x AS (SELECT ty.cohort, ty.feature, thr, CASE WHEN detected_type <> 'continuous' THEN 'categorical' WHEN zero_inflated OR n_low > 0 THEN 'symlog' WHEN b / a > 100 THEN 'log' ELSE 'linear' END AS scale FROM ty JOIN v ON ty.cohort = v.cohort AND ty.feature = v.feature) SELECT cohort, feature, scale, CASE WHEN scale = 'symlog' THEN round(greatest(thr, 1e-9), 6) END AS scale_param FROM x")
 def rel_17(spark, d):
     long = long_view(spark, d)
-    s = P.basic(long)
-    types = P.detect_type(s, P.minimum_mass(long, s))
-    return P.select_scale(long, types).select(*P.KEYS, "scale", F.round("scale_param", 6).alias("scale_param"))
+    levels = P.counts(long)
+    s = P.basic(long, levels)
+    types = P.detect_type(s, P.minimum_mass(levels, s))
+    return P.select_scale(levels, types).select(*P.KEYS, "scale", F.round("scale_param", 6).alias("scale_param"))
 
 
 FE = REDUNDANT_FEATURES

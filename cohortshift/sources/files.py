@@ -57,6 +57,12 @@ def write_parquet(df: DataFrame, *by: str) -> str:
     return path
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there: later steps neither repeat it nor lose it with an executor."""
+    df.write.parquet(path := shared_path(df.sparkSession, "saved"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 

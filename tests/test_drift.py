@@ -48,3 +48,25 @@ def test_raw_distances_are_of_all_rows(spark):
     # 1.36 (2 / n)^0.5 bounds the 95th percentile of KS: 0.043 for 2,000 rows a side, 0.011 for 30,000
     assert all(r["null_floor"] < 0.02 for (_, m), r in got.items() if m == "ks_statistic")
     assert kernels.DISTANCE_ROWS == {m: 2000 if m == "mmd" else 100_000 for m in kernels.lib1d.METRICS}
+
+
+def test_spearman_by_broadcast_and_by_long_table(spark):
+    """Both ways to the ranks agree with pandas, with ties and a null that takes its whole row out."""
+    import numpy as np
+    import pandas as pd
+
+    from cohortshift.operators.corr import spearman
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"cohort": ["A", "B"] * 60, "x": rng.integers(0, 9, 120) * 1.0, "z": rng.normal(size=120)})
+    pdf["y"] = pdf["x"] * 2 + rng.integers(0, 5, 120)
+    df = spark.createDataFrame(pdf)
+    want = {c: pdf[pdf.cohort == c][["x", "y", "z"]].corr("spearman") for c in "AB"}
+    for levels in (0, 20, 1000):
+        got = spearman(df, ["x", "y", "z"], levels).collect()
+        assert len(got) == 6
+        assert all(abs(r["r"] - want[r["cohort"]].loc[r["a"], r["b"]]) < 1e-9 for r in got)
+    with_null = df.unionByName(spark.createDataFrame([("A", None, 1.0, 2.0)], "cohort string, x double, y double, z double"))
+    # the null's row counts in the ranks of its other columns, as a value of them
+    a, b = ([(r["a"], r["b"], round(r["r"], 9)) for r in spearman(with_null, ["x", "y", "z"], n).where("cohort = 'A'").orderBy("a", "b").collect()] for n in (0, 1000))
+    assert a == b
