@@ -15,3 +15,29 @@ def test_all_rows_but_the_train_split_are_scored(spark):
     assert abs(got["A"] - 0.2 * (n["A", 0] + n["A", 1])) <= 400
     train, rest = model_queries._parts(spark, SF)
     assert train.join(rest, ["okey", "lnum", "pkey", "skey", "cohort"]).count() == 0
+
+
+def test_permuted_copies_deal_every_value_once(spark):
+    from collections import Counter
+
+    from cohortshift.operators.models import permuted_copies
+
+    rows = [(i, 0, i % 7, i % 3, float(i), float(i % 5), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "okey long, lnum long, pkey long, skey long, x double, z double, y int")
+    got = permuted_copies(df, ["x", "z"], 4).toPandas()
+    assert len(got) == 60 * 9
+    for (f, r), g in got.groupby(["feature", "repeat"]):
+        g = g.sort_values("okey")
+        same = {"x": [w[4] for w in rows], "z": [w[5] for w in rows]}
+        for c in ("x", "z"):
+            assert Counter(g[c]) == Counter(same[c])
+            assert (list(g[c]) == same[c]) == (c != f), (f, r, c)
+    assert permuted_copies(df.where("okey < 0"), ["x"], 2).count() == 0
+
+
+def test_importance_of_the_only_signal(spark):
+    from cohortshift.operators.models import fit_forest, permutation_importance
+
+    df = spark.range(2000).selectExpr("id AS okey", "0L AS lnum", "id % 7 AS pkey", "id % 3 AS skey", "CAST(id % 2 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS z", "CAST(id % 2 AS INT) AS y")
+    got = {r["feature"]: r["drop"] for r in permutation_importance(fit_forest(df, ["x", "z"], trees=20, depth=3), df, ["x", "z"], repeats=5).collect()}
+    assert abs(got["x"] - 0.5) < 0.05 and abs(got["z"]) < 0.01
