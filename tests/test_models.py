@@ -41,3 +41,18 @@ def test_importance_of_the_only_signal(spark):
     df = spark.range(2000).selectExpr("id AS okey", "0L AS lnum", "id % 7 AS pkey", "id % 3 AS skey", "CAST(id % 2 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS z", "CAST(id % 2 AS INT) AS y")
     got = {r["feature"]: r["drop"] for r in permutation_importance(fit_forest(df, ["x", "z"], trees=20, depth=3), df, ["x", "z"], repeats=5).collect()}
     assert abs(got["x"] - 0.5) < 0.05 and abs(got["z"]) < 0.01
+
+
+def test_cross_cohort_forests_score_every_row(spark):
+    """Each direction, task and framing counts all rows of its target; the planted flip shows under both framings."""
+    n = {r["cohort"]: r["count"] for r in view(spark, SF, "drift").groupBy("cohort").count().collect()}
+    got = registry.queries()["ML-08b"](spark, SF).toPandas()
+    totals = got.groupby(["direction", "task", "framing"])["n"].sum()
+    assert len(totals) == 8
+    assert all(v == n[k[0][-1]] for k, v in totals.items())
+    assert set(got[got.task == "binary"].truth) == {0, 1} and set(got[got.task == "family"].truth) == {0, 1, 4}
+    # discount alone tells the label, and moves the other way in B: z-scores of the target's own scaler turn every decision
+    # round, and on the source's scale the moved rows lie on the benign side
+    binary = got[got.task == "binary"]
+    assert (binary[binary.framing == "concept"].truth != binary[binary.framing == "concept"].pred).all()
+    assert (binary[binary.framing == "covariate"].pred == 0).all()
