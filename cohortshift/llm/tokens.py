@@ -11,12 +11,16 @@ import os
 import re
 import unicodedata
 from functools import cache
+from itertools import product
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: The Unicode property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Where no run of three spaces and line breaks occurs, each of them stands alone or before a word.
+LONG_RUNS = ["".join(p) for p in product(" \n", repeat=3)]
+END_RUNS = tuple("".join(p) for p in product(" \n", repeat=2))
 CACHE_ENTRIES = 800_000
 TEXTS_AT_ONCE = 8
 
@@ -43,11 +47,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.cache = cache_entries, {}
+        self.limit, self.cache = cache_entries, {"": b""}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = ids(" a \n b") == ids("a") + ids("b")
         self.chunk = re.compile(f"[^{SPACE}]+" if self.drops_space else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        self.other_space = re.compile(f"[\0{SPACE.replace(' ', '', 1).replace(chr(10), '')}]")
         self.line_break = (ids("\n") or [-1])[0]
         self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -57,8 +62,13 @@ class ChunkEncoder:
         return any(s in text for s in self.special)
 
     def chunks(self, text: str) -> list[str]:
-        # str.split() parts at White_Space and at these four
-        return text.split() if self.drops_space and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.chunk.findall(text)
+        """The chunks of a text in order, perhaps with empty ones between them."""
+        if self.drops_space:
+            # str.split() parts at White_Space and at these four
+            return self.chunk.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if text.endswith(END_RUNS) or any(r in text for r in LONG_RUNS) or self.other_space.search(text):
+            return self.chunk.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""

@@ -91,6 +91,16 @@ def test_chunk_encoder(name):
         assert fast.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+def test_chunks_by_replacement_are_those_of_the_pattern():
+    from itertools import product
+
+    enc = tokens.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for n in range(7):
+        for t in map("".join, product(" \nab"[: 4 if n < 6 else 3], repeat=n)):
+            for text in (t, f"x{t}x", t + "\t\u2003", f"\0{t}\0x"):
+                assert [c for c in enc.chunks(text) if c] == enc.chunk.findall(text), repr(text)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_letters_that_fall_apart_before_marks(name):
     """Capital dotted I and composed nukta letters become a letter and a combining mark, which joins the punctuation."""
