@@ -28,6 +28,7 @@ class Config:
     auc_deadband: float = 0.05
     dip_p: float = 0.05
     mode_mass: float = 0.02
+    min_modal: int = 100
     max_modes: int = 4
     separation_strong: float = 0.55
     mi_strong: float = 0.05

@@ -114,14 +114,15 @@ def quantile_shifts(points: DataFrame) -> DataFrame:
     return d.withColumn("region", F.when(F.abs("d50") == top, "median").when(F.abs("d75") == top, "upper").otherwise("lower"))
 
 
-def per_mode(long: DataFrame, modes: DataFrame, log_scale: bool = False) -> DataFrame:
+def per_mode(long: DataFrame, modes: DataFrame) -> DataFrame:
     """(feature, mode, wasserstein_qn, mass_shift): values of the k-th mode of A against those of the k-th of B.
 
-    A value belongs to the mode with the nearest centre; modes has (cohort, feature, modes) with centres ascending.
+    A value belongs to the mode with the nearest centre, in logarithms of magnitudes where log_scale is set; modes has
+    (cohort, feature, log_scale, modes) with centres ascending.
     """
-    t = (lambda c: F.log10(F.greatest(F.abs(c), F.lit(1e-12)))) if log_scale else (lambda c: c)
+    t = lambda c: F.when(F.col("log_scale"), F.log10(F.greatest(F.abs(c), F.lit(1e-12)))).otherwise(c)
     near = F.array_min(F.transform("modes", lambda m, i: F.struct(F.abs(t(m["center"]) - t(F.col("value"))).alias("d"), i.alias("i"))))
-    rows = finite_rows(long).join(modes.select("cohort", "feature", "modes"), ["cohort", "feature"]).withColumn("mode", near["i"])
+    rows = finite_rows(long).join(modes.select("cohort", "feature", "log_scale", "modes"), ["cohort", "feature"]).withColumn("mode", near["i"])
     named = rows.withColumn("fm", F.concat_ws("#", "feature", "mode"))
     w = rank_distances(named, "fm").select(F.split_part("fm", F.lit("#"), F.lit(1)).alias("feature"), F.split_part("fm", F.lit("#"), F.lit(2)).cast("int").alias("mode"), "wasserstein_qn")
     mass = modes.select("cohort", "feature", F.posexplode("modes").alias("mode", "m")).groupBy("feature", "mode").agg(F.max(F.when(F.col("cohort") == "A", F.col("m.mass"))).alias("ma"), F.max(F.when(F.col("cohort") == "B", F.col("m.mass"))).alias("mb"))

@@ -22,10 +22,12 @@ def _rng(*names: str):
     return np.random.default_rng(zlib.crc32("|".join(names).encode()))
 
 
-def mutual_information(long: DataFrame, keys: list[str], cap: int = 20_000) -> DataFrame:
-    """(keys, mi, mi_normalized) of each feature with the label, on at most cap rows of a label."""
+def mutual_information(long: DataFrame, keys: list[str], cap: int = 60_000, total: int = 80_000) -> DataFrame:
+    """(keys, mi, mi_normalized) of each feature with the label, on at most cap rows of a label and total rows in all."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > total:
+            g = g.sort_values(["y", "value"]).iloc[np.sort(_rng(*(str(g[k].iloc[0]) for k in keys)).choice(len(g), total, replace=False))]
         y = g["y"].to_numpy()
         mi = lib1d.mutual_information(g["value"].to_numpy(), y)
         p = np.bincount(y, minlength=2) / len(y)
@@ -36,15 +38,45 @@ def mutual_information(long: DataFrame, keys: list[str], cap: int = 20_000) -> D
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", mi double, mi_normalized double")
 
 
-def modes(long: DataFrame, keys: list[str], cap: int = 50_000) -> DataFrame:
-    """(keys, n_modes, modes): modes of non-zero values, centre first, as an array of structs."""
+#: Scales on which modes and kernel widths are taken in logarithms.
+LOG_SCALES = ("log", "symlog")
+
+
+def scaled_modes(x: np.ndarray, scale: str | None, rng) -> list[tuple[float, float, float]]:
+    """Modes of non-zero values as (centre, spread, mass) in their own units, centres ascending.
+
+    On a logarithmic scale they are found among the logarithms of the positive values, and a mode's centre and spread
+    are the median and deviation of the values nearest to it there; too few positive values are one mode.
+    """
+    if scale not in LOG_SCALES or not len(x):
+        return lib1d.fit_modes(x, rng)
+    base = x[x > 0]
+    if len(base) < CONFIG.min_modal:
+        return [(float(np.median(x)), float(x.std()), 1.0)]
+    logs = np.log10(base)
+    centres = np.array([m[0] for m in lib1d.fit_modes(logs, rng)])
+    own = np.searchsorted((centres[1:] + centres[:-1]) / 2, logs)
+    parts = [base[own == i] for i in range(len(centres))]
+    return [(float(np.median(p)), float(p.std()), len(p) / len(base)) for p in parts if len(p)]
+
+
+def modes(long: DataFrame, keys: list[str], cap: int = 50_000, profile: DataFrame | None = None) -> DataFrame:
+    """(keys, n_modes, modes): modes of values other than zero and the sentinel, centre first, as an array of structs.
+
+    profile has a row of (keys, scale, sentinel_value) for each group; without it values are taken as they are.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = [g[k].iloc[0] for k in keys]
-        found = lib1d.fit_modes(g["value"].to_numpy(), _rng(*map(str, names)))
+        found = scaled_modes(g["value"].to_numpy(), g["scale"].iloc[0], _rng(*map(str, names)))
         return pd.DataFrame([(*names, len(found), [dict(zip(("center", "spread", "mass"), m, strict=True)) for m in found])])
 
-    rows = random_cap(finite_rows(long).where("value <> 0"), keys, F.expr(ROW_KEY), cap, few_groups=True).select(*keys, "value")
+    rows = finite_rows(long).where("value <> 0")
+    if profile is None:
+        rows = rows.withColumn("scale", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(profile.select(*keys, "scale", "sentinel_value"), keys).where(~F.col("value").eqNullSafe(F.col("sentinel_value")))
+    rows = random_cap(rows, keys, F.expr(ROW_KEY), cap, few_groups=True).select(*keys, "value", "scale")
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n_modes int, modes array<struct<center double, spread double, mass double>>")
 
 
@@ -96,8 +128,12 @@ def c2st(long: DataFrame, cap: int = CONFIG.c2st_sample) -> DataFrame:
 DISTANCE_ROWS = {m: 2000 if m == "mmd" else 100_000 for m in lib1d.METRICS}
 
 
-def distances(long: DataFrame, metrics: list[str], caps: dict[str, int] = DISTANCE_ROWS) -> DataFrame:
-    """(feature, metric, raw, null_floor): corroboration distances of the cohorts, pooled, with their nulls at the same size."""
+def distances(long: DataFrame, metrics: list[str], caps: dict[str, int] = DISTANCE_ROWS, scales: DataFrame | None = None) -> DataFrame:
+    """(feature, metric, raw, null_floor): corroboration distances of the cohorts, pooled, with their nulls at the same size.
+
+    scales has (feature, scale); where that is logarithmic, MMD compares sign(x) log(1 + |x|), so that the tail does not
+    set its kernel's width. All other metrics stay the same under such a map.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         feature = g["feature"].iloc[0]
@@ -106,11 +142,14 @@ def distances(long: DataFrame, metrics: list[str], caps: dict[str, int] = DISTAN
         for m in metrics:
             rng = _rng(feature, m)
             a, b = (s if len(s) <= caps[m] else rng.choice(s, caps[m], replace=False) for s in sides)
+            if m == "mmd" and g["scale"].iloc[0] in LOG_SCALES:
+                a, b = (np.sign(s) * np.log1p(np.abs(s)) for s in (a, b))
             rows.append((feature, m, lib1d.METRICS[m](a, b, rng), lib1d.permutation_null(a, b, lib1d.METRICS[m], lib1d.RESPLITS[m], rng)))
         return pd.DataFrame(rows)
 
     cap = max(caps[m] for m in metrics)
     rows = random_cap(finite_rows(long), ["feature", "cohort"], F.expr(ROW_KEY), cap, few_groups=True).select("feature", "cohort", "value")
+    rows = rows.withColumn("scale", F.lit(None).cast("string")) if scales is None else rows.join(scales.select("feature", "scale"), "feature", "left")
     return rows.groupBy("feature").applyInPandas(run, "feature string, metric string, raw double, null_floor double")
 
 
@@ -156,7 +195,7 @@ def univariate_transfer(long: DataFrame, cap: int = 20_000, depth: int = 3) -> D
     return rows.groupBy("feature").applyInPandas(run, "feature string, accuracy_within double, accuracy_cross double, drop double, transfers_well boolean")
 
 
-def densities(long: DataFrame, cap: int = 2000, points: int = 220) -> DataFrame:
+def densities(long: DataFrame, cap: int = 30_000, points: int = 220) -> DataFrame:
     """(cohort, feature, x, density): curves of the finite values in axis space."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cross as X
 from ..operators import kernels as N
+from ..operators import profile as P
 from ..operators import stats as T
 from ..operators.split import random_cap
 from ..sources.views import cte, long_view, view
@@ -245,10 +246,21 @@ def win_04(spark, d):
     return b.select("feature", F.round("q_value", 6).alias("q_value"))
 
 
+#: Values of a raincloud lane.
+LANE_ROWS = 20_000
+
+
 @query("VIZ-01")
 def viz_01(spark, d):
-    """Raincloud lanes: at most 200 values of each feature, cohort and label, by hash."""
-    return random_cap(long_view(spark, d), ["feature", "cohort", "y"], F.expr(N.ROW_KEY), 200).select("feature", "cohort", "y", "value")
+    """Raincloud lanes: at most LANE_ROWS values, by hash, of each feature, cohort and class, once with two classes and
+    once with families. in_view tells the values within the profile's view range, which the clipped plot shows."""
+    long = N.finite_rows(long_view(spark, d))
+    pair = lambda split, lane: F.struct(F.lit(split).alias("split"), lane.alias("lane"))
+    lanes = long.withColumn("l", F.explode(F.array(pair("binary", F.when(C("y") == 1, "attack").otherwise("benign")), pair("family", C("family")))))
+    lanes = lanes.withColumns({"split": C("l.split"), "lane": C("l.lane")})
+    some = random_cap(lanes, ["feature", "cohort", "split", "lane"], F.expr(N.ROW_KEY), LANE_ROWS, few_groups=True)
+    ends = P.view_range(long).select("cohort", "feature", "view_low", "view_high")
+    return some.join(ends, ["cohort", "feature"]).select("feature", "cohort", "split", "lane", "value", C("value").between(C("view_low"), C("view_high")).alias("in_view"))
 
 
 @query("VIZ-02")

@@ -8,6 +8,7 @@ from ..config import ROUTES, SCALE_ORDER, TYPE_ORDER
 from ..operators import drift as D
 from ..operators import kernels as N
 from ..operators import profile as P
+from ..sources.files import saved
 from ..sources.views import cte, long_cte, long_view, view
 from .registry import query
 
@@ -97,8 +98,14 @@ def drf_10(spark, d):
 
 @query("DRF-11")
 def drf_11(spark, d):
-    """Unbiased MMD with an RBF kernel."""
-    return N.distances(long_view(spark, d), ["mmd"])
+    """Unbiased MMD with an RBF kernel, in signed logarithms where the plan's scale is logarithmic."""
+    from ..operators.pipeline import profiles
+
+    long = long_view(spark, d)
+    prof = profiles(long, P.counts(long))
+    side = lambda c: prof.where(C("cohort") == c).select("feature", C("scale").alias(f"scale_{c.lower()}"))
+    scales = side("A").join(side("B"), "feature").select("feature", D.resolve_scale(C("scale_a"), C("scale_b")).alias("scale"))
+    return N.distances(long, ["mmd"], scales=scales)
 
 
 @query("DRF-12", f"WITH {CNT}, k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY a + b DESC, value) AS k FROM t), p AS (SELECT feature, a / ta AS p, b / tb AS q FROM k WHERE k <= 50 UNION ALL SELECT feature, coalesce(sum(a) FILTER (WHERE k > 50), 0) / max(ta), coalesce(sum(b) FILTER (WHERE k > 50), 0) / max(tb) FROM k GROUP BY 1) SELECT feature, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2)), 5) AS jensen_shannon FROM p GROUP BY 1")
@@ -108,10 +115,12 @@ def drf_12(spark, d):
 
 @query("DRF-13")
 def drf_13(spark, d):
-    """The battery of a route's metric family: counts for nominal features, ranks and kernels for continuous ones."""
+    """The battery of the metric family that the comparison plan gives each feature."""
+    from ..operators import pipeline as X
+
     long = long_view(spark, d)
-    nominal = N.distances(long.where("feature in ('code')"), ["jensen_shannon"])
-    return nominal.unionByName(_distances(long.where("feature not in ('code')"), ["wasserstein_qn", "mmd", "energy_distance", "anderson_darling", "ks_statistic"]))
+    prof = X.profiles(long, P.counts(long))
+    return X.battery(long, saved(X.comparison_plan(prof, X.found_modes(long, prof))))
 
 
 @query("DRF-14")
@@ -123,9 +132,11 @@ def drf_14(spark, d):
 
 @query("DRF-15")
 def drf_15(spark, d):
-    """Values of matched modes against each other."""
+    """Values of matched modes against each other, in the space of cohort A's scale."""
+    from ..operators import pipeline as X
+
     long = long_view(spark, d)
-    return D.per_mode(long, N.modes(long, P.KEYS))
+    return D.per_mode(long, X.found_modes(long, X.profiles(long, P.counts(long))))
 
 
 @query("DRF-16", f"WITH {_pool('value <> 0')}, z AS (SELECT feature, avg(CASE WHEN cohort = 'A' THEN CASE WHEN value = 0 THEN 1.0 ELSE 0 END END) AS a, avg(CASE WHEN cohort = 'B' THEN CASE WHEN value = 0 THEN 1.0 ELSE 0 END END) AS b FROM long GROUP BY 1) SELECT z.feature, round(a, 6) AS zero_a, round(b, 6) AS zero_b, round(abs(a - b), 6) AS zero_delta, round(w, 6) AS tail_wasserstein FROM z LEFT JOIN pw ON z.feature = pw.feature")
@@ -175,6 +186,14 @@ def drf_20(spark, d):
     return verdicts(long_view(spark, d))
 
 
+@query("DRF-20b")
+def drf_20b(spark, d):
+    """The record of each feature: route, primary distance, zero mass, matched modes and shift magnitude."""
+    from ..operators.pipeline import record
+
+    return record(long_view(spark, d))
+
+
 AX = "least(greatest((sep_a - 0.5) * 2, 0), 1) * least(greatest((sep_b - 0.5) * 2, 0), 1)"
 
 

@@ -104,10 +104,12 @@ def pro_11(spark, d):
 
 @query("PRO-13")
 def pro_13(spark, d):
-    """Modes: a dip test, then mixtures by BIC."""
+    """Modes without zeros and sentinels, on the feature's scale: a dip test, then mixtures by BIC."""
     from ..operators.kernels import modes
+    from ..operators.pipeline import profiles
 
-    return modes(long_view(spark, d), P.KEYS)
+    long = long_view(spark, d)
+    return modes(long, P.KEYS, profile=profiles(long, P.counts(long)))
 
 
 @query("PRO-14", f"WITH {L} SELECT {K}, count(*) AS n, CAST(NULL AS VARCHAR) AS error FROM long GROUP BY 1, 2")

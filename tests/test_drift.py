@@ -70,3 +70,55 @@ def test_spearman_by_broadcast_and_by_long_table(spark):
     # the null's row counts in the ranks of its other columns, as a value of them
     a, b = ([(r["a"], r["b"], round(r["r"], 9)) for r in spearman(with_null, ["x", "y", "z"], n).where("cohort = 'A'").orderBy("a", "b").collect()] for n in (0, 1000))
     assert a == b
+
+
+def test_modes_leave_out_zeros_and_the_sentinel(spark):
+    from cohortshift.operators import kernels
+
+    rows = [(i, i, i, i, "A", "f", float(v)) for i, v in enumerate([0.0] * 50 + [-1.0] * 50 + [7.0] * 60)]
+    long = spark.createDataFrame(rows, "okey long, lnum long, pkey long, skey long, cohort string, feature string, value double")
+    prof = spark.createDataFrame([("A", "f", "linear", -1.0)], "cohort string, feature string, scale string, sentinel_value double")
+    got = kernels.modes(long, ["cohort", "feature"], profile=prof).first()
+    assert (got["n_modes"], got["modes"][0]["center"], got["modes"][0]["mass"]) == (1, 7.0, 1.0)
+
+
+def test_values_join_the_mode_nearest_on_their_scale(spark):
+    """50 and 60 are nearer to 1 than to 1,000, but nearer to 1,000 in logarithms; a mode without values has distance 0."""
+    from cohortshift.operators import drift
+
+    long = spark.createDataFrame([("A", "f", 50.0), ("B", "f", 60.0)], "cohort string, feature string, value double")
+    kind = "cohort string, feature string, log_scale boolean, modes array<struct<center double, spread double, mass double>>"
+    two = [(1.0, 0.1, 0.5), (1000.0, 1.0, 0.5)]
+    for log, own in ((False, 0), (True, 1)):
+        modes = spark.createDataFrame([(c, "f", log, two) for c in "AB"], kind)
+        assert {r["mode"]: r["wasserstein_qn"] for r in drift.per_mode(long, modes).collect()} == {own: 1.0, 1 - own: 0.0}
+
+
+def test_mmd_compares_logarithms_on_a_log_scale(spark):
+    """A shift of the small values, which the tail's width hides in raw units."""
+    import numpy as np
+
+    from cohortshift.operators import kernels
+
+    rng = np.random.default_rng(3)
+    tail = 10 ** rng.uniform(3, 7, 150)
+    sides = {"A": np.concatenate([rng.uniform(1, 2, 150), tail]), "B": np.concatenate([rng.uniform(20, 40, 150), tail])}
+    rows = [(i, i, i, i, c, "f", float(v)) for c, vs in sides.items() for i, v in enumerate(vs)]
+    long = spark.createDataFrame(rows, "okey long, lnum long, pkey long, skey long, cohort string, feature string, value double")
+    scales = spark.createDataFrame([("f", "log")], "feature string, scale string")
+    raw, log = (kernels.distances(long, ["mmd"], scales=s).first() for s in (None, scales))
+    assert raw["raw"] < 0.01 < 0.05 < log["raw"] and log["raw"] > log["null_floor"]
+
+
+def test_the_record_follows_the_plan(spark):
+    """Nominal features are compared by frequencies, continuous ones by ranks; parts that a route has not are null."""
+    from cohortshift.plans import registry
+
+    got = {r["feature"]: r for r in registry.queries()["DRF-20b"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"quantity", "price", "discount", "tax", "zero", "code"}
+    for r in got.values():
+        nominal = r["route"] in ("nominal", "discrete_count")
+        assert r["corroboration_primary"] == "jensen_shannon" if nominal else r["corroboration_primary"] in ("wasserstein_qn", "mmd")
+        assert r["raw"] is not None and r["shift"] is not None
+        assert not nominal or r["tail_wasserstein"] is None and r["max_mode_shift"] is None and r["shift"] == r["raw"]
+    assert got["price"]["scale"] == "log" and got["price"]["shift"] > 0.1

@@ -115,3 +115,16 @@ def test_running_index_is_the_row_number(spark):
         for c in ("x", None):
             own = sorted((r for r in rows if r[2] == c), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
             assert [got[r[1]] for r in own] == list(range(len(own)))
+
+
+def test_modes_on_a_log_scale():
+    """Two bumps a thousandfold apart are two modes with centres in their own units; too few positive values are one."""
+    from cohortshift.operators.kernels import scaled_modes
+
+    x = np.concatenate([10 ** RNG.normal(1, 0.1, 3000), 10 ** RNG.normal(4, 0.1, 1000), -np.ones(50)])
+    found = scaled_modes(x, "symlog", np.random.default_rng(1))
+    assert [m[0] for m in found] == [pytest.approx(10, rel=0.05), pytest.approx(10_000, rel=0.05)]
+    assert [m[2] for m in found] == [pytest.approx(0.75, abs=0.01), pytest.approx(0.25, abs=0.01)]
+    few = np.array([-3.0, -2.0, -1.0, 5.0])
+    assert scaled_modes(few, "log", np.random.default_rng(1)) == [(-1.5, pytest.approx(few.std()), 1.0)]
+    assert scaled_modes(np.array([]), "log", np.random.default_rng(1)) == []
