@@ -101,6 +101,23 @@ def test_benjamini_hochberg(spark):
     assert [round(got[f"t{i}"], 6) for i in range(4)] == [0.04, 0.053333, 0.053333, 0.5]
 
 
+@pytest.mark.parametrize("levels", [7, 100_000])
+def test_benjamini_hochberg_without_a_task_for_all_rows(spark, levels):
+    """Ties, a frequent value and nulls, which are last: the definition row by row, and no window over all tests."""
+    p = [None if i % 50 == 0 else 0.3 if i % 3 == 0 else float(v) for i, v in enumerate(RNG.integers(1, levels, 3000) / levels)]
+    t = spark.createDataFrame(list(enumerate(p)), "test long, p double").repartition(6)
+    out = stats.benjamini_hochberg(t)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    order = sorted(range(len(p)), key=lambda i: (p[i] is None, p[i] or 0))
+    low, want = 1.0, {}
+    for r in range(len(p), 0, -1):
+        v = p[order[r - 1]]
+        low = low if v is None else min(low, v * len(p) / r)
+        want[order[r - 1]] = (low, low <= 0.05)
+    got = {r["test"]: (r["q_value"], r["reject"]) for r in out.collect()}
+    assert got == {i: (pytest.approx(q, rel=1e-12), reject) for i, (q, reject) in want.items()}
+
+
 def test_kendall():
     assert stats.kendall(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4])) == pytest.approx(4 / 6)
     assert CONFIG.seed == 42
