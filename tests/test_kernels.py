@@ -118,6 +118,14 @@ def test_benjamini_hochberg_without_a_task_for_all_rows(spark, levels):
     assert got == {i: (pytest.approx(q, rel=1e-12), reject) for i, (q, reject) in want.items()}
 
 
+@pytest.mark.parametrize("name", ["ST-06", "WIN-04"])
+def test_q_values_need_no_window_over_all_features(spark, name):
+    from cohortshift.plans import registry
+
+    out = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_kendall():
     assert stats.kendall(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4])) == pytest.approx(4 / 6)
     assert CONFIG.seed == 42
