@@ -126,6 +126,25 @@ def test_q_values_need_no_window_over_all_features(spark, name):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_resamples_in_blocks(spark):
+    """Many blocks draw as one would: n rows in each draw, each row as often as its size, the spread of a multinomial."""
+    rows = [(f"r{i}", 1 + i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "key string, size int").repartition(3)
+    got = stats.resamples(df, 400, "x", size="size", made=4000)
+    assert got.schema.simpleString() == "struct<draw:int,key:string,n:int>"
+    t = got.toPandas().pivot_table(index="draw", columns="key", values="n", fill_value=0, aggfunc="sum")
+    total = sum(s for _, s in rows)
+    assert t.shape == (400, 90) and (t.sum(axis=1) == total).all()
+    one, all_sizes = t.mean(), np.array([dict(rows)[k] for k in t.columns])
+    assert np.abs(one - all_sizes).max() < 5 * np.sqrt(3 / 400) and (t.var() / all_sizes).mean() == pytest.approx(1 - 1 / 90, abs=0.05)
+    assert t.corr().to_numpy()[np.triu_indices(90, 1)].mean() == pytest.approx(-1 / 89, abs=0.003)
+    again = stats.resamples(df.repartition(7), 400, "x", size="size", made=4000)
+    assert sorted(again.collect()) == sorted(got.collect())
+    plain = stats.resamples(df.select("key"), 3, "x").groupBy("draw").sum("n").collect()
+    assert [tuple(r) for r in sorted(plain)] == [(0, 90), (1, 90), (2, 90)]
+    assert stats.resamples(df.where("size > 9").select("key"), 3, "x").count() == 0
+
+
 def test_kendall():
     assert stats.kendall(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4])) == pytest.approx(4 / 6)
     assert CONFIG.seed == 42
