@@ -150,6 +150,57 @@ def test_kendall():
     assert CONFIG.seed == 42
 
 
+def _pairs(rows, x, y):
+    """tau-b and rho of a table, by their definitions on all rows."""
+    d = [np.sign(v[:, None] - v[None, :]) for v in (x, y)]
+    ranks = [(v[:, None] > v[None, :]).sum(1) + (v[:, None] == v[None, :]).sum(1) / 2 for v in (x, y)]
+    return (d[0] * d[1]).sum() / np.sqrt((d[0] ** 2).sum() * (d[1] ** 2).sum()), np.corrcoef(*ranks)[0, 1]
+
+
+@pytest.mark.parametrize("levels", [(2, 500), (7, 5), (500, 500)])
+def test_kendall_and_spearman_of_counts(spark, levels):
+    """Counts of pairs, on the driver and in Spark in many ranges, against all pairs of rows."""
+    x = RNG.integers(levels[0], size=600) / 2.0
+    y = np.minimum(RNG.integers(levels[1], size=600), x * 2 + RNG.integers(levels[1], size=600))
+    df = spark.createDataFrame([(f"f{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [("n", None, 1.0)], "feature string, a double, b double")
+    tau, rho = _pairs(df, x, y)
+    assert stats.kendall(x, y) == pytest.approx(tau, abs=1e-12)
+    cells = stats.cell_counts(df, "a", "b")
+    assert stats.association(cells, "a", "b") == (600, pytest.approx(rho, abs=1e-12), pytest.approx(tau, abs=1e-12))
+    assert stats.association(cells, "a", "b", at_once=30) == (600, pytest.approx(rho, abs=1e-12), pytest.approx(tau, abs=1e-12))
+
+
+def test_kendall_takes_no_square_of_the_rows():
+    """300,000 different rows: pair by pair they would take minutes."""
+    n = 300_000
+    x, y = np.arange(n), np.arange(n)[::-1].copy()
+    assert stats.kendall(x, y) == -1 and stats.kendall(x, x) == 1
+    y = np.arange(n) ^ 1  # each second pair of neighbours is turned
+    assert stats.kendall(x, y) == pytest.approx(1 - 2 * (n / 2) / (n * (n - 1) / 2), abs=1e-12)
+
+
+@pytest.mark.parametrize("by", [None])
+def test_bootstrap_of_counts(spark, by):
+    """Draws of counts, in tasks and in Spark, spread as draws of single rows do."""
+    n, rng = 400, np.random.default_rng(3)
+    x = rng.integers(20, size=n).astype(float)
+    y, g = x + rng.integers(-15, 16, size=n), rng.integers(40, size=n)
+    df = spark.createDataFrame([(f"f{i}", float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(x, y, g, strict=True))], "feature string, a double, b double, g int")
+    groups = [np.flatnonzero(g == c) for c in np.unique(g)]
+    own = []
+    for _ in range(600):
+        i = rng.integers(n, size=n) if by is None else np.concatenate([groups[k] for k in rng.integers(len(groups), size=len(groups))])
+        own.append(stats.code_rho(stats.codes(x[i]), stats.codes(y[i]), np.ones(len(i))))
+    cells = stats.cell_counts(df, "a", "b", *([by] if by else []))
+    for at_once, draws in ((1000, 600), (50, 300)):
+        got = stats.drawn_rhos(cells, "a", "b", "t", draws, by, at_once)
+        assert len(got) == draws and got.mean() == pytest.approx(np.mean(own), abs=5 * np.std(own) / draws**0.5)
+        assert got.std() == pytest.approx(np.std(own), rel=0.2)
+    row = stats.block(df, "a", "b", 200, by).first()
+    assert row["n"] == n and row["ci_low"] < row["spearman"] < row["ci_high"] and row["p_boot"] == 0
+    assert stats.block(df.limit(0), "a", "b", 200, by).first()["n"] == 0
+
+
 def test_running_index_is_the_row_number(spark):
     """Whatever the ranges: ties of the first column, nulls, and a class that holds most rows."""
     rows = [(int(k) if k else None, i, "x" if i % 9 else None) for i, k in enumerate(RNG.integers(0, 6, 300))]
