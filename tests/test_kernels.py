@@ -179,7 +179,7 @@ def test_kendall_takes_no_square_of_the_rows():
     assert stats.kendall(x, y) == pytest.approx(1 - 2 * (n / 2) / (n * (n - 1) / 2), abs=1e-12)
 
 
-@pytest.mark.parametrize("by", [None])
+@pytest.mark.parametrize("by", [None, "g"])
 def test_bootstrap_of_counts(spark, by):
     """Draws of counts, in tasks and in Spark, spread as draws of single rows do."""
     n, rng = 400, np.random.default_rng(3)
