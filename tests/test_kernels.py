@@ -118,6 +118,16 @@ def test_benjamini_hochberg_without_a_task_for_all_rows(spark, levels):
     assert got == {i: (pytest.approx(q, rel=1e-12), reject) for i, (q, reject) in want.items()}
 
 
+def test_headline_correlation_works_on_counts(spark, monkeypatch):
+    """ST-02 neither collects its rows nor ranks them all in one window."""
+    from cohortshift.plans import registry
+
+    monkeypatch.setattr(stats, "arrays", None)
+    monkeypatch.setattr(stats, "_avg_rank", None)
+    row = registry.queries()["ST-02"](spark, "/root/testdata/sf0.001").first()
+    assert -1 <= row["spearman"] <= 1 and -1 <= row["kendall"] <= 1
+
+
 @pytest.mark.parametrize("name", ["ST-06", "WIN-04"])
 def test_q_values_need_no_window_over_all_features(spark, name):
     from cohortshift.plans import registry
