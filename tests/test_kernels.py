@@ -136,6 +136,26 @@ def test_q_values_need_no_window_over_all_features(spark, name):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["ST-06", "WIN-04"])
+def test_q_values_of_few_distinct_p_need_no_running_totals(spark, monkeypatch, name):
+    """They come from one small table on the driver, not from a chain of jobs."""
+    from cohortshift.plans import registry
+
+    monkeypatch.setattr(stats, "running_totals", None)
+    monkeypatch.setattr(stats, "following_min", None)
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_q_values_on_the_driver_and_in_spark(spark):
+    """Both forms agree on ties, nulls, NaN, zero and p over 1, to the last bit, and without any test."""
+    p = [None, float("nan"), 0.0, -0.0, 1.0, 1.5, *(float(v) for v in RNG.integers(1, 60, 400) / 300)]
+    t = spark.createDataFrame(list(enumerate(p)), "test long, p double").repartition(5)
+    few, wide, edge = (stats.benjamini_hochberg(t, at_once=n).drop("p").orderBy("test").collect() for n in (stats.CELLS, 0, len(set(p[2:])) + 2))
+    assert few == wide == edge and len(few) == len(p)
+    assert [r["q_value"] for r in few[:6]] == [1.0, 1.0, 0.0, 0.0, 1.0, 1.0] and [r["reject"] for r in few[:3]] == [False, False, True]
+    assert stats.benjamini_hochberg(t.where("test < 0")).count() == stats.benjamini_hochberg(t.where("test < 0"), at_once=0).count() == 0
+
+
 def test_resamples_in_blocks(spark):
     """Many blocks draw as one would: n rows in each draw, each row as often as its size, the spread of a multinomial."""
     rows = [(f"r{i}", 1 + i % 3) for i in range(90)]
