@@ -1,5 +1,7 @@
 """Kernels against closed forms, planted effects and pairwise definitions."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -231,6 +233,40 @@ def test_bootstrap_of_counts(spark, by):
     assert stats.block(df.limit(0), "a", "b", 200, by).first()["n"] == 0
 
 
+def _clusters(spark, n=400):
+    rng = np.random.default_rng(4)
+    x = rng.integers(12, size=n).astype(float)
+    rows = [(f"f{i}", a, float(b), f"g{c}") for i, (a, b, c) in enumerate(zip(x.tolist(), x + rng.integers(-5, 6, size=n), rng.integers(30, size=n), strict=True))]
+    return rows, spark.createDataFrame(rows, "feature string, a double, b double, g string").repartition(3)
+
+
+def test_few_cells_are_drawn_without_a_chain_of_jobs(spark):
+    """ST-04: the counts go to the driver once, and so few draws need neither tasks nor another pass."""
+    _, df = _clusters(spark)
+    spark.sparkContext.setJobGroup("few cells", "")
+    try:
+        assert stats.block(df, "a", "b", 100, "g").first()["n"] == 400
+    finally:
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few cells")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 1 <= len(jobs) <= 4
+
+
+def test_drawn_clusters_are_whole(spark, monkeypatch):
+    """On the driver and in tasks, rho of a draw is that of all rows of the clusters it names, repeats included."""
+    rows, df = _clusters(spark)
+    x, y, g = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    names, want = np.unique(g), []
+    for d in range(20):
+        rng = np.random.default_rng([zlib.crc32(b"t"), d])
+        i = np.concatenate([np.flatnonzero(g == names[k]) for k in rng.integers(len(names), size=len(names))])
+        want.append(stats.code_rho(stats.codes(x[i]), stats.codes(y[i]), np.ones(len(i))))
+    cells = stats.cell_counts(df, "a", "b", "g")
+    for here in (stats.HERE, 0):
+        monkeypatch.setattr(stats, "HERE", here)
+        assert stats.drawn_rhos(cells, "a", "b", "t", 20, "g").tolist() == pytest.approx(want, abs=1e-12)
+
+
 def test_running_index_is_the_row_number(spark):
     """Whatever the ranges: ties of the first column, nulls, and a class that holds most rows."""
     rows = [(int(k) if k else None, i, "x" if i % 9 else None) for i, k in enumerate(RNG.integers(0, 6, 300))]
