@@ -265,6 +265,14 @@ def test_drawn_clusters_are_whole(spark, monkeypatch):
     for here in (stats.HERE, 0):
         monkeypatch.setattr(stats, "HERE", here)
         assert stats.drawn_rhos(cells, "a", "b", "t", 20, "g").tolist() == pytest.approx(want, abs=1e-12)
+    pairs = len({r[1:3] for r in rows})
+    assert 40 < pairs < 200 < cells.count()
+    monkeypatch.setattr(stats, "resamples", None)  # it would meet each draw's clusters with all their rows by a join
+    monkeypatch.setattr(stats, "ROWS", 7 * pairs)
+    for at_once in (200, 40):
+        got = stats.drawn_rhos(cells, "a", "b", "t", 20, "g", at_once)
+        assert sorted(got) == pytest.approx(sorted(want), abs=1e-12)
+        assert stats.block(df, "a", "b", 20, "g", at_once).first() == stats.block(df, "a", "b", 20, "g").first()
 
 
 def test_running_index_is_the_row_number(spark):
