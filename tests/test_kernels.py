@@ -158,6 +158,17 @@ def test_q_values_on_the_driver_and_in_spark(spark):
     assert stats.benjamini_hochberg(t.where("test < 0")).count() == stats.benjamini_hochberg(t.where("test < 0"), at_once=0).count() == 0
 
 
+def test_buckets_of_many_p_are_the_same_in_every_step(spark, monkeypatch):
+    """A sketch of many values may differ each time it is made, so running totals may not make it once more."""
+    plans, own = [], stats.saved
+    monkeypatch.setattr(stats, "saved", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or own(df))
+    t = spark.createDataFrame([(i, i / 900) for i in range(700)], "test long, p double")
+    assert stats.benjamini_hochberg(t, at_once=0).count() == 700
+    cells = t.selectExpr("p", "-p AS r", "1L AS n")
+    plans.append(stats.rank_corr(cells, "p", "r", "n", [])._jdf.queryExecution().analyzed().toString())
+    assert len(plans) == 4 and not any("percentile_approx" in p for p in plans)
+
+
 def test_resamples_in_blocks(spark):
     """Many blocks draw as one would: n rows in each draw, each row as often as its size, the spread of a multinomial."""
     rows = [(f"r{i}", 1 + i % 3) for i in range(90)]
