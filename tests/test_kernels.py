@@ -188,6 +188,31 @@ def test_resamples_in_blocks(spark):
     assert stats.resamples(df.where("size > 9").select("key"), 3, "x").count() == 0
 
 
+def test_smp_08_makes_all_draws(spark):
+    """SMP-08: as many draws as the analysis makes (20 before), each of as many features as there are."""
+    from cohortshift.plans import registry
+
+    got = registry.queries()["SMP-08"](spark, "/root/testdata/sf0.001").toPandas()
+    known = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert CONFIG.bootstraps == 2000 and sorted(got["draw"].unique()) == list(range(2000))
+    assert (got.groupby("draw")["n"].sum() == known).all() and not got.duplicated(["draw", "feature"]).any()
+    one = got.groupby("feature")["n"].sum() / 2000
+    assert len(one) == known and np.abs(one - 1).max() < 5 / 2000**0.5
+    assert (got["n"] ** 2).sum() / 2000 / known == pytest.approx(2 - 1 / known, abs=0.02)
+
+
+@pytest.mark.parametrize("made", [60, 1000, stats.MADE])
+def test_resamples_of_equal_rows(spark, made):
+    """Equal rows, nulls among them, share a block, which makes a bounded number of rows at a time; each stays a row."""
+    keys = [None] * 70 + ["hot"] * 50 + [f"r{i}" for i in range(30)]
+    t = stats.resamples(spark.createDataFrame([(k,) for k in keys], "key string").repartition(4), 300, "y", made=made).toPandas()
+    assert (t.groupby("draw")["n"].sum() == 150).all() and t["draw"].nunique() == 300
+    assert len(t) / 300 == pytest.approx(150 * (1 - (1 - 1 / 150) ** 150), rel=0.01)
+    per = t.assign(key=t["key"].fillna("")).pivot_table(index="draw", columns="key", values="n", fill_value=0, aggfunc="sum")
+    for k, n in (("", 70), ("hot", 50)):
+        assert per[k].mean() == pytest.approx(n, abs=5 * (n * (1 - n / 150) / 300) ** 0.5) and per[k].var() == pytest.approx(n * (1 - n / 150), rel=0.35)
+
+
 def test_kendall():
     assert stats.kendall(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4])) == pytest.approx(4 / 6)
     assert CONFIG.seed == 42
